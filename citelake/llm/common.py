@@ -179,8 +179,9 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def runs_by_minimum(items: np.ndarray, bounds: np.ndarray, window: int, gram: int):
     """Splits the windows of neighbouring sequences into runs that share their least gram hash.
 
-    Equal windows have equal minima, so they fall under the same key wherever they stand. Returns the
-    position of each run's first window, its number of windows, its key, and a digest of all its items.
+    Equal windows have equal minima, so they fall under the same key wherever they stand. A run also ends where
+    its leftmost least gram drops out, so equal windows are never in one run twice. Returns the position of
+    each run's first window, its number of windows, its key, and a digest of all its items.
     """
     n = len(items)
     none = np.zeros(0, np.int64)
@@ -188,14 +189,15 @@ def runs_by_minimum(items: np.ndarray, bounds: np.ndarray, window: int, gram: in
         return none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     sums = prefix_sums(items)
     at = np.arange(n - gram + 1)
-    least = sliding_min(stretch_hash(sums, at, at + gram), window - gram + 1)
+    grams = stretch_hash(sums, at, at + gram)
+    least = sliding_min(grams, window - gram + 1)
     step = np.zeros(n + 2, dtype=np.int32)
     last = np.maximum(bounds[1:] - window + 1, bounds[:-1])
     np.add.at(step, bounds[:-1], 1)
     np.add.at(step, last, -1)
     valid = np.cumsum(step)[: len(least)] > 0
     fresh = valid.copy()
-    fresh[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
+    fresh[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (grams[: len(least) - 1] == least[:-1])
     stop = np.zeros(len(least) + 1, dtype=bool)
     stop[:-1] = fresh | ~valid
     stop[-1] = True

@@ -6,13 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license as licenses
-from . import lines, media, mixing, quality, simhash
+from . import lines, media, mixing, quality, simhash, substring, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeated_words(_table(spark, sf_dir, "documents"), 50)
+    gone = F.aggregate("removed", F.lit(0), lambda acc, s: acc + s["b"] - s["a"])
+    return kept.select("doc_id", "n_words", gone.cast("long").alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix.remove_repeats(_table(spark, sf_dir, "documents"), 400)
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.store_texts(_table(spark, sf_dir, "documents")))
 
@@ -43,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_media, op5_quality, op7_licenses, op8_simhash, op9_lines, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_substrings, op3_suffixes, op4_media, op5_quality, op7_licenses, op8_simhash, op9_lines, op10_mixing)}
 
 SQL = {
     "op9_lines": """
