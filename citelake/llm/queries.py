@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license as licenses
-from . import lines, media, mixing, quality, simhash, substring, suffix
+from . import decontaminate, lines, lm, media, mixing, quality, simhash, substring, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeated_words(_table(spark, sf_dir, "documents"), 50)
     gone = F.aggregate("removed", F.lit(0), lambda acc, s: acc + s["b"] - s["a"])
@@ -35,6 +39,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -54,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_substrings, op3_suffixes, op4_media, op5_quality, op7_licenses, op8_simhash, op9_lines, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_suffixes, op4_media, op5_quality, op6_lm, op7_licenses, op8_simhash, op9_lines, op10_mixing)}
 
 SQL = {
     "op9_lines": """
