@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,20 @@ NO_ID = (1 << 63) - 1
 _MASK = (1 << 64) - 1
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends the package to the executors, whose Python need not have it, once for each context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_citelake_shipped", False):
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="citelake-")) / "citelake.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+        sc._citelake_shipped = True
+    return spark
+
+
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """The folder named by spark.checkpoint.dir; a local one only where none is set, as in tests."""
     sc = spark.sparkContext

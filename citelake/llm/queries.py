@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from . import license as licenses
 from . import decontaminate, lines, lm, media, mixing, quality, simhash, substring, suffix
+from .common import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
