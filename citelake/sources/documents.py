@@ -126,8 +126,9 @@ def read_pages(spark: SparkSession, path: str, strict: bool = True) -> tuple[Dat
 
 def read_provisions(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Provisions and their units; of equal refs the last wins."""
-    raw = read_raw(spark, path).filter(F.col("file").rlike("/provisions/[^/]+/[^/]+\\.json$"))
-    provisions = typed(raw.select(F.col("file").alias("_file"), "raw"), "provision", strict)
+    ours = F.col("file").rlike("/provisions/[^/]+/[^/]+\\.json$")  # other files are blanked first: filters may run after the drift check
+    raw = read_raw(spark, path).select(F.col("file").alias("_file"), F.when(ours, F.col("raw")).alias("raw"))
+    provisions = typed(raw, "provision", strict).filter("ref is not null")
     units = typed(provisions.select("_file", F.col("ref").alias("provision_ref"), F.posexplode(F.from_json("units", "array<string>")).alias("_pos", "raw")), "unit", strict)
     return (
         corpus.last_wins(provisions, ["ref"], ["_file"]).drop("_file"),
