@@ -26,8 +26,9 @@ from .common import NO_ID, cut
 from .graph import components
 
 SEED = 42
-#: Distinct fingerprints a group of one exact choice should hold on average, at most.
-GROUP = 256
+#: Distinct fingerprints a group of one exact choice should hold on average, at most. Below that, comparing within
+#: groups costs less than the rows of one more choice of blocks.
+GROUP = 1024
 #: Shingle hashes kept for the similarity of two texts; texts with fewer shingles are compared exactly.
 SKETCH = 128
 
@@ -292,9 +293,12 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, budg
 
     def run(batches):
         for batch in batches:
-            data = [v.as_py().encode("utf-8") for v in batch.column(2)]
-            fp = pa.array([_signed(majority(_hash_bytes(features(d, 0)))) for d in data], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array([sketch(d, shingle) for d in data], pa.binary())], names=["id", "th", "fp", "sketch"])
+            fps, sketches = [], []
+            for v in batch.column(2):
+                data = v.as_py().encode("utf-8")
+                fps.append(_signed(majority(_hash_bytes(features(data, 0)))))
+                sketches.append(sketch(data, shingle))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], names=["id", "th", "fp", "sketch"])
 
     @F.pandas_udf("double")
     def alike(a, b):
