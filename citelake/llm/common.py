@@ -15,12 +15,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null doc_id inside joins; it sorts after every other id.
 NO_ID = (1 << 63) - 1
 
+#: Rows of one Arrow batch: ten thousand texts, the default, take too much of an executor's memory beside its heap.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _MASK = (1 << 64) - 1
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package to the executors, whose Python need not have it, once for each context."""
+    """Sends the package to the executors, whose Python need not have it, once for each context.
+
+    Where the session has the default size of Arrow batches, it gets BATCH_ROWS.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if not getattr(sc, "_citelake_shipped", False):
         root = Path(__file__).resolve().parents[1]
         archive = Path(tempfile.mkdtemp(prefix="citelake-")) / "citelake.zip"
