@@ -41,8 +41,9 @@ LEAST_PAIR = 2
 DICTIONARY = 8_000_000
 #: Words that the pair counts of a context are weighed against.
 MASS = 30.0
-#: Bytes of text counted or scored at once.
+#: Bytes of text read or scored at once, and tokens counted before they are sent.
 PIECE = 8 << 20
+TOKENS = 3 << 19
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,13 +156,23 @@ def count_grams(train: DataFrame, buckets: int, least_pair: int) -> DataFrame:
     """bucket, kind (1 words, 2 pairs), grams and counts (sorted blocks), total, and levels (how many grams have each count level)."""
 
     def count(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            for kind in (1, 2):
+                yield pa.RecordBatch.from_pylist(_blocks(kind, np.concatenate([h[kind - 1] for h in held]), buckets), schema=_BLOCK)
+            held.clear()
+
         for batch in batches:
             raw, offsets = text_bytes(batch.column(0))
-            for i, j in groups_of(np.diff(offsets), PIECE):
+            for i, j in groups_of(np.diff(offsets), PIECE // 4):
                 a, b = int(offsets[i]), int(offsets[j])
                 token, bounds = tokens(raw[a:b], offsets[i : j + 1] - a)
-                for kind, grams in ((1, token), (2, pairs(token, bounds))):
-                    yield pa.RecordBatch.from_pylist(_blocks(kind, grams, buckets), schema=_BLOCK)
+                held.append((token, pairs(token, bounds)))
+                if sum(len(h[0]) for h in held) >= TOKENS:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     out = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()), ("levels", pa.list_(pa.int64()))])
 
