@@ -67,7 +67,7 @@ def run_checks(spark: SparkSession, root: Path, gold_dir: Path | None = None, re
             commit = pin.commit
         except REFUSALS as e:
             reason = str(e)
-    found = gold_checks.findings(gold.records, gold.files, gold.retired, gold_files.document_states(spark, root), None if corpus is None else corpus.targets.cache(), commit, reason)
+    found = gold_checks.findings(gold.records, gold.files, gold.retired, gold_files.document_states(spark, root), None if corpus is None else corpus.targets.cache(), commit, reason, gold.present)
     return gold, found.cache(), corpus is not None, commit if corpus is not None else "", reason
 
 

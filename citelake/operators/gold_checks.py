@@ -106,8 +106,8 @@ def unreadable(files: DataFrame) -> DataFrame:
     return _finding(files, _seq("gold-file"), M.DEFECT, "gold-file", F.col("file"), F.col("reason"), type_seq=F.lit(0))
 
 
-def schema(gold: DataFrame) -> DataFrame:
-    found = S.validate(gold.select("record_type", "pos", "raw"))
+def schema(gold: DataFrame, types: tuple[str, ...] = S.RECORD_TYPES) -> DataFrame:
+    found = S.validate(gold.select("record_type", "pos", "raw"), types)
     rows = found.join(gold.select("record_type", "pos", "type_seq", "subject"), ["record_type", "pos"])
     where = F.when(F.col("path") == "", "<root>").otherwise(F.col("path"))
     return _finding(rows, _seq("schema"), M.DEFECT, "schema", F.col("subject"), F.concat(F.lit("at "), where, F.lit(": "), F.col("message")), F.col("sub"))
@@ -310,14 +310,17 @@ def not_resolved(spark: SparkSession, reason: str) -> DataFrame:
     return spark.createDataFrame([(_seq("resolution"), 0, 0, 0, M.GAP, "resolution", "corpus", f"the resolution checks did not run: {reason}")], FINDING)
 
 
-def findings(records: DataFrame, files: DataFrame, retired: DataFrame, documents: DataFrame, found: DataFrame | None, snapshot: str = "", reason: str = "not requested") -> DataFrame:
-    """All checks' findings; without corpus targets the corpus checks are reported as a gap."""
+def findings(records: DataFrame, files: DataFrame, retired: DataFrame, documents: DataFrame, found: DataFrame | None, snapshot: str = "", reason: str = "not requested", types: tuple[str, ...] = S.RECORD_TYPES) -> DataFrame:
+    """All checks' findings; without corpus targets the corpus checks are reported as a gap.
+
+    types: the record types that may occur.
+    """
     gold = prepared(records)
-    parts = [unreadable(files), schema(gold), identifiers(gold, retired), cross_references(gold), approval(gold), judgement(gold), coverage(gold), completeness(gold, documents)]
+    parts = [unreadable(files), *([schema(gold, types)] if types else []), identifiers(gold, retired), cross_references(gold), approval(gold), judgement(gold), coverage(gold), completeness(gold, documents)]
     if found is None:
         parts.append(not_resolved(records.sparkSession, reason))
     else:
-        parts += [resolution(gold, found, snapshot), spans(gold, found), staleness(gold, found)]
+        parts += [resolution(gold, found, snapshot, types), spans(gold, found), staleness(gold, found)]
     return _union(parts)
 
 

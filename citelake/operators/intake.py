@@ -257,7 +257,7 @@ def transcribe(cells: DataFrame, sheets: list[str]) -> Transcription:
     flat = [(t, i, json.dumps(r, ensure_ascii=False)) for t, rs in ordered.items() for i, r in enumerate(rs)]
     wrong: dict[tuple[str, int], list[str]] = {}
     if flat:
-        for e in S.validate(spark.createDataFrame(flat, "record_type string, pos int, raw string")).orderBy("record_type", "pos", "sub").collect():
+        for e in S.validate(spark.createDataFrame(flat, "record_type string, pos int, raw string"), tuple(ordered)).orderBy("record_type", "pos", "sub").collect():
             wrong.setdefault((e["record_type"], e["pos"]), []).append(f"at {e['path'] or '<root>'}: {e['message']}")
     for t, rs in ordered.items():
         for i, r in enumerate(rs):
