@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, NO_ID, groups_of, runs_by_minimum, text_bytes, word_hashes, words_in
+from .common import BYTE, NO_ID, cut, groups_of, runs_by_minimum, text_bytes, word_hashes, words_in
 
 RUNS = "id long, th long, start int, n int, key long, dig long"
 #: Items worked on at once.
 PIECE = 1 << 18
+#: Documents whose keys (eight bytes each) may be broadcast.
+FEW = 1_000_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -83,6 +85,24 @@ def with_parts(distinct: DataFrame, items_each: Column, most: int) -> DataFrame:
     return distinct.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
+def with_documents(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs joined with rows, one for each document (id, th), inner or left.
+
+    While few documents have a row, their keys are broadcast, so that no other text is shuffled.
+    """
+    rows = cut(rows)
+    if rows.count() > FEW:
+        return docs.join(rows, ["id", "th"], how)
+    key = F.xxhash64("id", "th")
+    keys = F.broadcast(rows.select(key.alias("_key")).distinct())
+    own = docs.withColumn("_key", key)
+    joined = own.join(keys, "_key", "left_semi").join(rows, ["id", "th"], how).drop("_key")
+    if how == "inner":
+        return joined
+    others = own.join(keys, "_key", "left_anti").drop("_key")
+    return joined.unionByName(others, allowMissingColumns=True)
+
+
 def spans_from(flags: np.ndarray) -> list[dict]:
     """Stretches of set flags as {a, b}."""
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, prefix_sums, stretch_hash, text_bytes
-from .runs import PIECE, by_key, covered, keyed, runs, shared_runs, spans_from, with_parts, word_items
+from .runs import PIECE, by_key, covered, keyed, runs, shared_runs, spans_from, with_documents, with_parts, word_items
 from .suffix import SPANS
 
 #: Words of each gram whose hash keys an edge.
@@ -45,7 +45,7 @@ def first_documents(rows: list[dict]) -> list[np.ndarray]:
     sizes = [len(e) for e in edges]
     flat = np.concatenate(edges)
     first = np.repeat(np.array([r["first"] for r in rows], dtype=np.int64), sizes)
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat)
     head = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
     least = np.minimum.reduceat(first[order], head)
     earlier = np.empty(len(flat), dtype=bool)
@@ -93,7 +93,7 @@ def repeat_spans(docs: DataFrame, k: int) -> DataFrame:
                     out.append({"key": r["key"], "dig": r["dig"], "n": r["n"], "spans": spans_from(flags)})
             yield pa.RecordBatch.from_pylist(out, schema=verdicts)
 
-    edges = docs.join(asked, ["id", "th"]).select("id", "text", "asked").mapInArrow(lay_out, "deal long, key long, dig long, n int, first long, at binary, edges binary")
+    edges = with_documents(docs, asked, "inner").select("id", "text", "asked").mapInArrow(lay_out, "deal long, key long, dig long, n int, first long, at binary, edges binary")
     partly = edges.repartition("deal").sortWithinPartitions("deal").mapInArrow(settle, f"key long, dig long, n int, spans {SPANS}")
     partly = partly.groupBy("key", "dig", "n").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     paths = distinct.select("key", "dig", "n", F.col("at.id").alias("first")).join(partly, ["key", "dig", "n"], "left")
@@ -106,7 +106,7 @@ def remove_repeated_words(docs: DataFrame, k: int = 50) -> DataFrame:
     """doc_id, n_words, kept (the words that stay, joined by one space) and removed (first and past-the-last word of each run that goes)."""
     spans = repeat_spans(keyed(docs), k)
     joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("th", F.xxhash64("text"))
-    joined = joined.join(spans, ["id", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
+    joined = with_documents(joined, spans, "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("removed", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
     def run(batches):
