@@ -146,7 +146,7 @@ def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.concatenate([np.ones(sum(map(len, once)), np.int64), *[np.frombuffer(r["counts"], np.int64) for r in rows]])
     if not len(grams):
         return grams, counts
-    order = np.argsort(grams, kind="stable")
+    order = np.argsort(grams)
     grams, counts = grams[order], counts[order]
     head = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
     return grams[head], np.add.reduceat(counts, head)

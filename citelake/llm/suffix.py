@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BYTE, cut, mix, runs_by_minimum, sliding_min
-from .runs import by_key, byte_items, covered, keyed, runs, shared_runs, spans_from, with_parts
+from .runs import by_key, byte_items, covered, keyed, runs, shared_runs, spans_from, with_documents, with_parts
 
 #: Bytes of each gram whose hash keys a window.
-GRAM = 100
+GRAM = 180
 #: Bytes of one shard's transform.
 SHARD = 1 << 17
 #: Bytes under one key beyond which it is dealt out by further minima.
@@ -40,7 +40,7 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(8)) | padded[j : j + n]
     reach = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys may come in any order
         fresh = np.zeros(n, dtype=np.int64)
         fresh[1:] = key[order][1:] != key[order][:-1]
         rank = np.empty(n, dtype=np.int64)
@@ -193,7 +193,7 @@ def repeat_spans(docs: DataFrame, length: int) -> DataFrame:
                     out.append({"key": r["key"], "dig": r["dig"], "n": r["n"], "spans": [{"a": s["a"] + r["off"], "b": s["b"] + r["off"]} for s in spans_from(flags)]})
             yield pa.RecordBatch.from_pylist(out, schema=verdicts)
 
-    stretches = docs.join(asked, ["id", "th"]).select("text", "asked").mapInArrow(fetch, "deal long, key long, dig long, n int, copies long, off int, data binary")
+    stretches = with_documents(docs, asked, "inner").select("text", "asked").mapInArrow(fetch, "deal long, key long, dig long, n int, copies long, off int, data binary")
     single = stretches.repartition("deal").sortWithinPartitions("deal").mapInArrow(settle, f"key long, dig long, n int, spans {SPANS}")
     whole = distinct.filter("copies > 1").select("key", "dig", "n", F.expr(f"cast(array(struct(0, n)) as {SPANS})").alias("spans"))
     gone = found.join(whole.unionByName(single), ["key", "dig", "n"]).select("id", "th", "start", F.explode("spans").alias("s"))
@@ -205,7 +205,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     texts = keyed(docs)
     spans = repeat_spans(texts, length)
     joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("th", F.xxhash64("text"))
-    joined = joined.join(spans, ["id", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
+    joined = with_documents(joined, spans, "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
     def run(batches):
