@@ -19,6 +19,8 @@ from .common import NO_ID, cut
 
 #: lgK of the sketches: 4096 registers, a relative error of about 1.6 %.
 LG_K = 12
+#: Line hashes (16 bytes each, with their first places) that may be broadcast.
+FEW = 200_000
 #: Estimates within this share of the threshold, plus one, are counted exactly (over five standard errors).
 NEAR = 0.1
 
@@ -43,15 +45,20 @@ def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     met = cut(met.withColumn("spread", F.hll_sketch_estimate("sketch")).filter(F.col("spread") >= low).select(*key, "_first", "spread"))
     sure = met.filter(F.col("spread") > high).select(*key, "_first")
     near = met.filter(F.col("spread") <= high)
-    exact = lines.join(near.select(*key), key, "left_semi").groupBy(*key, "_site").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count("*").alias("n"))
+    exact = lines.join(_small(near.select(*key)), key, "left_semi").groupBy(*key, "_site").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count("*").alias("n"))
     return sure.unionByName(near.join(exact.filter(F.col("n") >= min_sites), key).select(*key, "_first"))
 
 
+def _small(hashes: DataFrame) -> DataFrame:
+    """Marked for broadcast while they are few, so that a line on a third of all rows is never dealt to one task."""
+    return F.broadcast(hashes) if hashes.count() <= FEW else hashes
+
+
 def dedup_lines(docs: DataFrame, min_sites: int = 5, site: str = "source") -> DataFrame:
     """docs with text cut to the lines that stay, and n_lines, n_removed (lines of the text, and those that went)."""
     lines = cut(_lines(docs, site))
     bad = boilerplate_lines(lines, min_sites)
-    gone = lines.join(bad, ["_h1", "_h2"]).filter(F.struct("_id", "_pos") != F.col("_first"))
+    gone = lines.join(_small(cut(bad)), ["_h1", "_h2"]).filter(F.struct("_id", "_pos") != F.col("_first"))
     gone = gone.groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_gone"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*[docs[c] for c in keep], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_th"))
