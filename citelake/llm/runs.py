@@ -75,8 +75,8 @@ def shared_runs(found: DataFrame, repeated: Column) -> DataFrame:
     keys = found.groupBy("key").agg(
         F.count("*").alias("n_rows"), F.min("id").alias("low_id"), F.max("id").alias("high_id"), F.min("dig").alias("d0"), F.max("dig").alias("d1"), F.min("n").alias("n0"), F.max("n").alias("n1")
     )
-    keys = keys.filter(repeated).select("key", ((F.col("d0") != F.col("d1")) | (F.col("n0") != F.col("n1"))).alias("many"))
-    return found.join(keys, "key")
+    keys = cut(keys.filter(repeated).select("key", ((F.col("d0") != F.col("d1")) | (F.col("n0") != F.col("n1"))).alias("many")))
+    return found.join(keys, "key")  # both sides stand in files, so a key with very many runs can be split in the join
 
 
 def with_parts(distinct: DataFrame, items_each: Column, most: int) -> DataFrame:
