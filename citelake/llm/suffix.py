@@ -196,7 +196,7 @@ def repeat_spans(docs: DataFrame, length: int) -> DataFrame:
     stretches = with_documents(docs, asked, "inner").select("text", "asked").mapInArrow(fetch, "deal long, key long, dig long, n int, copies long, off int, data binary")
     single = stretches.repartition("deal").sortWithinPartitions("deal").mapInArrow(settle, f"key long, dig long, n int, spans {SPANS}")
     whole = distinct.filter("copies > 1").select("key", "dig", "n", F.expr(f"cast(array(struct(0, n)) as {SPANS})").alias("spans"))
-    gone = found.join(whole.unionByName(single), ["key", "dig", "n"]).select("id", "th", "start", F.explode("spans").alias("s"))
+    gone = found.join(cut(whole.unionByName(single)), ["key", "dig", "n"]).select("id", "th", "start", F.explode("spans").alias("s"))
     return gone.groupBy("id", "th").agg(F.collect_list(F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))).alias("spans"))
 
 
