@@ -1,10 +1,11 @@
 """Substring dedup by a compacted De Bruijn graph of word k-mers.
 
 Edges are k-mers of words. They are never laid out one by one where paths do not branch: a run of neighbouring
-edges under one key is one compacted edge, equal runs of all documents meet in a Spark aggregation by key and digest,
-and a key with a single run is a nonbranching path, settled as a whole. Only where a key has different runs do the
-paths branch; there each distinct run is read again at the source coordinates of one occurrence, its edges are laid
-out, and the first document of every edge is found among them. Joins carry the verdicts back to all occurrences.
+edges under one key is one compacted edge, and equal runs of all documents meet in a Spark aggregation by key and
+digest. A run that is always followed by one other run, which it alone precedes, is glued to it by a join: glued runs are
+the repeated nonbranching paths, and an occurrence of a path is one stretch of a document. Only where a key has
+different runs can edges repeat without their runs; there each distinct run is read again at the source coordinates of
+one occurrence, its edges are laid out, and the first document of every edge is found among them.
 
 Defined cases: null and empty texts and those with fewer than k words lose nothing; a null doc_id counts as larger
 than all others, and null ids take nothing from each other; repeated rows of one id take nothing from each other; an
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, prefix_sums, stretch_hash, text_bytes
@@ -53,11 +54,58 @@ def first_documents(rows: list[dict]) -> list[np.ndarray]:
     return np.split(earlier, np.cumsum(sizes)[:-1])
 
 
+def _in_text():
+    return Window.partitionBy("id", "th").orderBy("start")
+
+
+def _run() -> Column:
+    """One number for a run, from its key, digest and length."""
+    return F.xxhash64("key", "dig", "n")
+
+
+def with_neighbours(found: DataFrame) -> DataFrame:
+    """Occurrences of runs with before and after: the run that ends where this one starts, and the one that starts where it ends."""
+    here = found.withColumn("run", _run())
+    after = F.when(F.lead("start").over(_in_text()) == F.col("start") + F.col("n"), F.lead("run").over(_in_text()))
+    before = F.when(F.lag(F.col("start") + F.col("n")).over(_in_text()) == F.col("start"), F.lag("run").over(_in_text()))
+    return here.withColumn("after", after).withColumn("before", before).drop("run")
+
+
+def compacted(found: DataFrame) -> DataFrame:
+    """The distinct runs of occurrences with neighbours: key, dig, n, many, at (the first occurrence) and glued.
+
+    glued: every occurrence goes on into one and the same run, all of whose occurrences come from this one.
+    """
+    count = F.count("*").alias("copies")
+    out = [F.count("after").alias("outs"), F.min("after").alias("out0"), F.max("after").alias("out1")]
+    into = [F.count("before").alias("ins"), F.min("before").alias("in0"), F.max("before").alias("in1")]
+    distinct = cut(found.groupBy("key", "dig", "n", "many").agg(F.min(F.struct("id", "th", "start")).alias("at"), count, *out, *into))
+    only = distinct.filter("outs = copies and out0 = out1").select("key", "dig", "n", F.col("out0").alias("next"))
+    entered = distinct.filter("ins = copies and in0 = in1").select(_run().alias("next"))
+    glued = only.join(entered.distinct(), "next", "left_semi").select("key", "dig", "n", F.lit(True).alias("glued"))
+    return distinct.select("key", "dig", "n", "many", "at").join(glued, ["key", "dig", "n"], "left").withColumn("glued", F.coalesce("glued", F.lit(False)))
+
+
+def path_spans(marked: DataFrame) -> DataFrame:
+    """id, th and spans from occurrences (id, th, start, n, whole, glued, spans): each path that goes as a whole is one span.
+
+    whole: all k-mers go; spans: otherwise, those that go, counted from the run's start.
+    """
+    goes_on = F.lag(F.col("glued") & F.col("whole")).over(_in_text()) & (F.lag(F.col("start") + F.col("n")).over(_in_text()) == F.col("start"))
+    numbered = marked.withColumn("path", F.sum(F.when(goes_on, 0).otherwise(1)).over(_in_text().rowsBetween(Window.unboundedPreceding, 0)))
+    some = F.transform("spans", lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"]).alias("b")))
+    paths = numbered.groupBy("id", "th", "path").agg(
+        F.min(F.when(F.col("whole"), F.col("start"))).alias("a"), F.max(F.when(F.col("whole"), F.col("start") + F.col("n"))).alias("b"), F.flatten(F.collect_list(F.when(~F.col("whole"), some))).alias("more")
+    )
+    spans = F.concat(F.when(F.col("a").isNull(), F.array().cast(SPANS)).otherwise(F.array(F.struct("a", "b"))), F.col("more"))
+    return paths.groupBy("id", "th").agg(F.flatten(F.collect_list(spans)).alias("spans")).filter(F.size("spans") > 0)
+
+
 def repeat_spans(docs: DataFrame, k: int) -> DataFrame:
     """id, th and spans (first and past-the-last k-mer) of keyed documents' k-mers that a smaller id has too."""
     found = cut(runs(docs, word_items, k, GRAM))
-    found = cut(shared_runs(found, F.col("low_id") < F.col("high_id")))
-    distinct = cut(found.groupBy("key", "dig", "n", "many").agg(F.min(F.struct("id", "th", "start")).alias("at")))
+    found = cut(with_neighbours(shared_runs(found, F.col("low_id") < F.col("high_id"))))
+    distinct = cut(compacted(found))
     asked = with_parts(distinct.filter("many"), F.col("n"), HOT)
     asked = asked.groupBy("at.id", "at.th").agg(F.collect_list(F.struct("at.start", "key", "dig", "n", "parts")).alias("asked"))
     dealt = pa.schema([("deal", pa.int64()), ("key", pa.int64()), ("dig", pa.int64()), ("n", pa.int32()), ("first", pa.int64()), ("at", pa.binary()), ("edges", pa.binary())])
@@ -96,10 +144,10 @@ def repeat_spans(docs: DataFrame, k: int) -> DataFrame:
     edges = with_documents(docs, asked, "inner").select("id", "text", "asked").mapInArrow(lay_out, "deal long, key long, dig long, n int, first long, at binary, edges binary")
     partly = edges.repartition("deal").sortWithinPartitions("deal").mapInArrow(settle, f"key long, dig long, n int, spans {SPANS}")
     partly = partly.groupBy("key", "dig", "n").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    paths = distinct.select("key", "dig", "n", F.col("at.id").alias("first")).join(partly, ["key", "dig", "n"], "left")
-    whole = F.expr(f"cast(array(struct(0, n)) as {SPANS})")
-    gone = found.join(paths, ["key", "dig", "n"]).select("id", "th", "start", F.explode(F.when(F.col("id") > F.col("first"), whole).otherwise(F.col("spans"))).alias("s"))
-    return gone.groupBy("id", "th").agg(F.collect_list(F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))).alias("spans"))
+    paths = cut(distinct.select("key", "dig", "n", "glued", F.col("at.id").alias("first")).join(partly, ["key", "dig", "n"], "left"))
+    marked = found.select("id", "th", "start", "n", "key", "dig").join(paths, ["key", "dig", "n"])
+    whole = F.col("id") > F.col("first")
+    return path_spans(marked.select("id", "th", "start", "n", "glued", whole.alias("whole"), F.when(~whole, F.col("spans")).alias("spans")).filter("whole or spans is not null"))
 
 
 def remove_repeated_words(docs: DataFrame, k: int = 50) -> DataFrame:

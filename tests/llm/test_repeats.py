@@ -87,6 +87,16 @@ def test_odd_rows(spark, odd_rows):
         assert words_result(docs, 50) == without_repeated_words(rows, 50)
 
 
+def test_runs_are_glued_where_paths_do_not_branch(spark):
+    rows = [(1, "h", 0, 3, 10, "A"), (1, "h", 3, 2, 11, "B"), (1, "h", 5, 4, 12, "C"), (2, "i", 7, 3, 10, "A"), (2, "i", 10, 2, 11, "B"), (2, "i", 12, 4, 13, "D"), (3, "j", 0, 3, 10, "A"), (3, "j", 3, 2, 11, "B"), (3, "j", 9, 4, 12, "C")]
+    df = spark.createDataFrame([(i, hash(t) % 1000, s, n, k, ord(d), True) for i, t, s, n, k, d in rows], "id long, th long, start int, n int, key long, dig long, many boolean")
+    got = {chr(r["dig"]): r["glued"] for r in substring.compacted(substring.with_neighbours(df)).collect()}
+    assert got == {"A": True, "B": False, "C": False, "D": False}
+    marked = df.select("id", "th", "start", "n", (F.col("dig") == ord("A")).alias("glued"), (F.col("id") > 1).alias("whole"), F.expr("cast(null as array<struct<a:int,b:int>>)").alias("spans"))
+    spans = {r["id"]: sorted((s.a, s.b) for s in r["spans"]) for r in substring.path_spans(marked).collect()}
+    assert spans == {2: [(7, 12), (12, 16)], 3: [(0, 5), (9, 13)]}
+
+
 def test_interval_expansion_against_brute_force():
     r = random.Random(5)
     for alphabet, length in (("ab", 12), ("abcdé", 5), ("a", 3), ("abcdefghij", 40)):
