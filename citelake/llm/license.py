@@ -22,41 +22,42 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that always count, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: label, keyword, names as they read once cut to words (regular expressions).
+#: label, keywords of which a text that names the license holds one, names as they read once cut to words (regular
+#: expressions).
 NAMES = (
-    ("mit", "mit", r"(?:mit|expat|x11)"),
-    ("mit-0", "mit 0", r"mit (?:no attribution|0)"),
+    ("mit", "mit|expat|x11", r"(?:mit|expat|x11)"),
+    ("mit-0", "mit no attribution|mit 0", r"mit (?:no attribution|0)"),
     ("apache-1.1", "apache", r"apache (?:software )?(?:license )?(?:version |v)?1 1"),
     ("apache-2", "apache", r"apache (?:software )?(?:license )?(?:version |v)?2(?: 0)?"),
     ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|revised bsd|modified bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("bsd", "bsd", r"bsd"),
-    ("isc", "isc", r"isc"),
+    ("isc", " isc ", r"isc"),
     ("zlib", "zlib", r"zlib(?: libpng)?"),
-    ("gpl-1", "g", r"(?:gnu )?(?:gpl|general public license) ?(?:version |v)?1(?: 0)?"),
-    ("gpl-2", "g", r"(?:gnu )?(?:gpl|general public license) ?(?:version |v)?2(?: 0)?"),
-    ("gpl-3", "g", r"(?:gnu )?(?:gpl|general public license) ?(?:version |v)?3(?: 0)?"),
-    ("gpl", "g", r"(?:gnu gpl|gpl|gnu general public license)"),
-    ("lgpl-2", "l", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public license) ?(?:version |v)?2(?: [01])?"),
-    ("lgpl-3", "l", r"(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v)?3(?: 0)?"),
-    ("lgpl", "l", r"(?:gnu lgpl|lgpl|(?:gnu )?(?:lesser|library) general public license)"),
-    ("agpl-3", "a", r"(?:gnu )?(?:agpl|affero general public license) ?(?:version |v)?3(?: 0)?"),
-    ("agpl", "a", r"(?:gnu agpl|agpl|(?:gnu )?affero general public license)"),
-    ("gfdl", "g", r"(?:gfdl|gnu free documentation license)"),
-    ("mpl-1.1", "m", r"(?:mpl|mozilla public license) ?(?:version |v)?1 1"),
-    ("mpl-2", "m", r"(?:mpl|mozilla public license) ?(?:version |v)?2(?: 0)?"),
-    ("epl-1", "e", r"(?:epl|eclipse public license) ?(?:version |v)?1(?: 0)?"),
-    ("epl-2", "e", r"(?:epl|eclipse public license) ?(?:version |v)?2(?: 0)?"),
-    ("cddl-1", "d", r"(?:cddl|common development and distribution license) ?(?:version |v)?1(?: [01])?"),
-    ("eupl-1.2", "eu", r"(?:eupl|european union public license) ?(?:version |v)?1 2"),
-    ("cc0-1", "cc0", r"(?:cc0|creative commons zero)(?: 1 0)?"),
-    ("cc-by", "c", r"(?:cc by|creative commons attribution)(?: [1-4] [05])?"),
-    ("cc-by-sa", "sa", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?"),
-    ("cc-by-nc", "c", r"(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?"),
-    ("cc-by-nd", "c", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "nc nd", r"cc by nc nd(?: [1-4] [05])?"),
+    ("gpl-1", "gpl|general public license", r"(?:gnu )?(?:gpl|general public license) ?(?:version |v)?1(?: 0)?"),
+    ("gpl-2", "gpl|general public license", r"(?:gnu )?(?:gpl|general public license) ?(?:version |v)?2(?: 0)?"),
+    ("gpl-3", "gpl|general public license", r"(?:gnu )?(?:gpl|general public license) ?(?:version |v)?3(?: 0)?"),
+    ("gpl", "gpl|general public license", r"(?:gnu gpl|gpl|gnu general public license)"),
+    ("lgpl-2", "lgpl|general public license", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public license) ?(?:version |v)?2(?: [01])?"),
+    ("lgpl-3", "lgpl|general public license", r"(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v)?3(?: 0)?"),
+    ("lgpl", "lgpl|general public license", r"(?:gnu lgpl|lgpl|(?:gnu )?(?:lesser|library) general public license)"),
+    ("agpl-3", "agpl|affero", r"(?:gnu )?(?:agpl|affero general public license) ?(?:version |v)?3(?: 0)?"),
+    ("agpl", "agpl|affero", r"(?:gnu agpl|agpl|(?:gnu )?affero general public license)"),
+    ("gfdl", "gfdl|free documentation", r"(?:gfdl|gnu free documentation license)"),
+    ("mpl-1.1", "mpl|mozilla", r"(?:mpl|mozilla public license) ?(?:version |v)?1 1"),
+    ("mpl-2", "mpl|mozilla", r"(?:mpl|mozilla public license) ?(?:version |v)?2(?: 0)?"),
+    ("epl-1", "epl|eclipse", r"(?:epl|eclipse public license) ?(?:version |v)?1(?: 0)?"),
+    ("epl-2", "epl|eclipse", r"(?:epl|eclipse public license) ?(?:version |v)?2(?: 0)?"),
+    ("cddl-1", "cddl|common development", r"(?:cddl|common development and distribution license) ?(?:version |v)?1(?: [01])?"),
+    ("eupl-1.2", "eupl|european union", r"(?:eupl|european union public license) ?(?:version |v)?1 2"),
+    ("cc0-1", "cc0|commons zero", r"(?:cc0|creative commons zero)(?: 1 0)?"),
+    ("cc-by", "cc by|creative commons", r"(?:cc by|creative commons attribution)(?: [1-4] [05])?"),
+    ("cc-by-sa", "cc by sa|creative commons", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?"),
+    ("cc-by-nc", "cc by nc|creative commons", r"(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?"),
+    ("cc-by-nd", "cc by nd|creative commons", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "cc by nc sa|creative commons", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", "cc by nc nd", r"cc by nc nd(?: [1-4] [05])?"),
     ("unlicense", "unlicense", r"unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl"),
     ("boost-1", "boost", r"boost(?: software)? ?(?:license )?(?:version |v)?1 0"),
@@ -65,8 +66,8 @@ NAMES = (
     ("ofl-1.1", "open font", r"sil open font"),
     ("postgresql", "postgresql", r"postgresql"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?"),
-    ("odbl-1", "open d", r"(?:odbl|open database license)(?: 1 0)?"),
-    ("ms-pl", "microsoft", r"microsoft public"),
+    ("odbl-1", "odbl|open database", r"(?:odbl|open database license)(?: 1 0)?"),
+    ("ms-pl", "microsoft public", r"microsoft public"),
     ("llama-community", "llama", r"llama [1-4](?: [0-9])? community"),
     ("proprietary", "proprietary", r"proprietary"),
 )
@@ -85,17 +86,13 @@ TEMPLATES = (
 
 
 @lru_cache
-def rules() -> tuple[tuple[str, str, int, float, str], ...]:
-    """keyword, label, priority, confidence, pattern of every rule, in order (names times templates, over 300)."""
-    out = []
-    for _, priority, sure, shape in TEMPLATES:
-        for label, key, name in NAMES:
-            out.append((key, label, priority, sure, "(?<= )" + shape.format(name=f"(?:{name})") + "(?= )"))
-    return tuple(out)
+def rules() -> tuple[tuple[tuple[str, ...], str, int, float, str], ...]:
+    """keywords, label, priority, confidence, pattern of every rule (names times templates, over 300)."""
+    return tuple((tuple(keys.split("|")), label, priority, sure, "(?<= )" + shape.format(name=f"(?:{name})") + "(?= )") for label, keys, name in NAMES for _, priority, sure, shape in TEMPLATES)
 
 
 #: A text without any of these holds no detection, so no rule looks at it.
-GATE = ("licen", "spdx", "subject to", "under")
+GATE = ("licen", "spdx", " subject to ", " under ")
 
 
 def normal_words(text: Column) -> Column:
@@ -121,11 +118,17 @@ def _places(norm: Column, pattern: Column) -> Column:
 
 
 def _detections(norm: Column) -> Column:
-    """All matches of all rules whose keyword the text holds: a, b, priority, confidence, label."""
-    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("key", "label", "priority", "sure", "pattern"), r, strict=True)]) for r in rules()])
-    on = F.filter(table, lambda r: F.contains(norm, r["key"]))
-    each = F.transform(on, lambda r: F.transform(_places(norm, r["pattern"]), lambda p: F.struct(p["a"].alias("a"), (-p["b"]).alias("z"), r["priority"].alias("priority"), r["label"].alias("label"), r["sure"].alias("sure"))))
-    return F.array_sort(F.flatten(each))
+    """All matches of all rules one of whose keywords the text holds: a, b, priority, confidence, label."""
+    groups = []
+    for label, keys, _ in NAMES:
+        own = [F.struct(F.lit(p).alias("priority"), F.lit(sure).alias("sure"), F.lit(pattern).alias("pattern")) for _, name, p, sure, pattern in rules() if name == label]
+        groups.append(F.struct(F.array(*map(F.lit, keys.split("|"))).alias("keys"), F.lit(label).alias("label"), F.array(*own).alias("rules")))
+    on = F.filter(F.array(*groups), lambda g: F.exists(g["keys"], lambda k: F.contains(norm, k)))
+
+    def matches(group, rule):
+        return F.transform(_places(norm, rule["pattern"]), lambda p: F.struct(p["a"].alias("a"), (-p["b"]).alias("z"), rule["priority"].alias("priority"), group["label"].alias("label"), rule["sure"].alias("sure")))
+
+    return F.array_sort(F.flatten(F.flatten(F.transform(on, lambda g: F.transform(g["rules"], lambda r: matches(g, r))))))
 
 
 def _uncontained(found: Column) -> Column:
@@ -162,7 +165,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     for word in GATE:
         gate |= F.contains(norm, F.lit(word))
     empty = F.expr("cast(array() as array<struct<a:int,z:int,priority:int,label:string,sure:double>>)")
-    df = df.withColumn("_found", F.when(gate & F.rlike(norm, F.lit("licen|spdx|public|creative| cc |gpl| under the ")), _uncontained(_detections(norm))).otherwise(empty))
+    df = df.withColumn("_found", F.when(gate, _uncontained(_detections(norm))).otherwise(empty))
     base = F.transform("_base", lambda x: x["label"])
     own = F.transform("_found", lambda x: x["label"])
     total = F.aggregate("_base", F.lit(0), lambda acc, x: acc + x["n"])

@@ -155,11 +155,29 @@ def test_rules_and_containment(spark):
 
 def test_detections_against_brute_force():
     """Containment suppression keeps nothing that lies inside a kept detection of the same or a better priority."""
-    assert all(1 <= p <= 4 and 0 < c <= 1 and key for key, _, p, c, _ in licenses.rules())
+    assert all(1 <= p <= 4 and 0 < c <= 1 and all(keys) for keys, _, p, c, _ in licenses.rules())
     for *_, pattern in licenses.rules():
         re.compile(pattern)
 
 
+def test_keywords_are_necessary():
+    """No rule matches a text that lacks its keywords or the gate."""
+    plain = lambda x: re.sub(r"\[(\d)[^]]*\]", r"\1", re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", x))
+    seen = 0
+    for keys, label, _, _, pattern in licenses.rules():
+        name = dict((x, n) for x, _, n in licenses.NAMES)[label]
+        for variant in re.findall(r"[^|]+", name.removeprefix("(?:").removesuffix(")")) if name.startswith("(?:") and name.count("(") == 1 else [name]:
+            text = variant
+            while "(" in text:
+                text = plain(text)
+            for shape in ("licensed under the {}", "{} license", "spdx license identifier {}", "license {}"):
+                said = " " + " ".join(shape.format(text).split()) + " "
+                if re.search(pattern, said):
+                    seen += 1
+                    assert any(k in said for k in keys) and any(g in said for g in licenses.GATE), (label, said)
+    assert seen > 150
+
+
 # ---------------------------------------------------------------- lines
 
 
