@@ -7,7 +7,7 @@ ends is refined, a few bits at a time, so nothing is ever sorted.
 
 Defined cases: a null or empty text has size 0 and takes 0; a null source is a source, last in order;
 an empty table gives no rows; identical repeated rows share one hash and so one fate; further columns
-are ignored or kept as they are.
+are kept as they are, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -113,12 +113,12 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), most: int = 3, size
         lean = sized.select("source", "_size", "_h")
     limits = thresholds(lean, weights, most)
     few = limits.count() <= BROADCAST_SOURCES
-    limits = limits.select(F.col("source").alias("_s"), "source_size", "target", "passes", "prefix", "take", "part")
+    limits = limits.select(*[F.col(c).alias(f"_{c}") for c in limits.columns])
     limits = F.broadcast(limits) if few else limits
     flip = F.lit(-(1 << 63))
-    under = (F.col("_h").bitwiseXOR(flip) < F.col("prefix").bitwiseXOR(flip)) | (F.col("take") & (F.col("_h") == F.col("prefix")))
-    copies = F.col("passes") + (F.col("part") & under).cast("int")
+    under = (F.col("_h").bitwiseXOR(flip) < F.col("_prefix").bitwiseXOR(flip)) | (F.col("_take") & (F.col("_h") == F.col("_prefix")))
+    copies = F.col("_passes") + (F.col("_part") & under).cast("int")
     keep = [c for c in sized.columns if c not in ("_size", "_h", "size", "source_size", "target", "copies", "taken")]
-    return sized.join(limits, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        *[sized[c] for c in keep], F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), (F.col("_size") * copies).alias("taken")
+    return sized.join(limits, F.col("source").eqNullSafe(F.col("_source")), "left").select(
+        *[sized[c] for c in keep], F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"), (F.col("_size") * copies).alias("taken")
     )

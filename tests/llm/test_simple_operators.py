@@ -217,6 +217,8 @@ def test_targets_share_by_weight_and_stop_at_three_times():
 def test_mixing_comes_near_targets(spark, prose, odd_rows):
     for rows in (prose, odd_rows):
         docs = table(spark, rows).withColumn("size", F.lit("clash"))
+        for name in ("source_size", "target", "copies", "taken", "passes", "prefix", "take", "part", "b", "n", "upto", "rest"):
+            docs = docs.withColumn(name, F.lit("clash"))
         got = mixing.mix_sources(docs).collect()
         assert len(got) == len(rows)
         per = defaultdict(list)
