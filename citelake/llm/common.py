@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,21 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def releasing(run):
+    """run, a function over Arrow batches, and afterwards what it no longer needs is given back to the system.
+
+    Python workers live on between tasks; without this they hold the largest batch they ever saw.
+    """
+
+    def held(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return held
+
+
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """The folder named by spark.checkpoint.dir; a local one only where none is set, as in tests."""
     sc = spark.sparkContext

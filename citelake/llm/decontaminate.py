@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, prefix_sums, stretch_hash
+from .common import BYTE, prefix_sums, releasing, stretch_hash
 
 Q = 12
 #: Edits allowed for each byte of an item.
@@ -220,7 +220,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> D
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "edits", "start", "end"])
 
-        part = lean.mapInArrow(run, MATCHES)
+        part = lean.mapInArrow(releasing(run), MATCHES)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], MATCHES) if out is None else out
 
@@ -237,5 +237,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> D
                 bad = {f[0] for f in _search(shared.value, [normalise(t) for t in batch.column(place).to_pylist()])}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(releasing(run), docs.schema)
     return out

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, groups_of, mix, text_bytes, word_hashes, words_in
+from .common import cut, groups_of, mix, releasing, text_bytes, word_hashes, words_in
 from .quality import held_out
 from .runs import keyed
 
@@ -42,8 +42,8 @@ DICTIONARY = 8_000_000
 #: Words that the pair counts of a context are weighed against.
 MASS = 30.0
 #: Bytes of text read or scored at once, and tokens counted before they are sent.
-PIECE = 8 << 20
-TOKENS = 3 << 19
+PIECE = 1 << 20
+TOKENS = 1 << 20
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +165,7 @@ def count_grams(train: DataFrame, buckets: int, least_pair: int) -> DataFrame:
 
         for batch in batches:
             raw, offsets = text_bytes(batch.column(0))
-            for i, j in groups_of(np.diff(offsets), PIECE // 4):
+            for i, j in groups_of(np.diff(offsets), PIECE):
                 a, b = int(offsets[i]), int(offsets[j])
                 token, bounds = tokens(raw[a:b], offsets[i : j + 1] - a)
                 held.append((token, pairs(token, bounds)))
@@ -194,8 +194,8 @@ def count_grams(train: DataFrame, buckets: int, least_pair: int) -> DataFrame:
         if held:
             yield done(held)
 
-    dealt = train.mapInArrow(count, _BLOCK_DDL).repartition("bucket", "kind").sortWithinPartitions("bucket", "kind")
-    return dealt.mapInArrow(merge, "bucket int, kind int, n long, total long, grams binary, counts binary, levels array<long>")
+    dealt = train.mapInArrow(releasing(count), _BLOCK_DDL).repartition("bucket", "kind").sortWithinPartitions("bucket", "kind")
+    return dealt.mapInArrow(releasing(merge), "bucket int, kind int, n long, total long, grams binary, counts binary, levels array<long>")
 
 
 @dataclass
@@ -242,7 +242,7 @@ def build_filter(counted: DataFrame, buckets: int, max_bits: int) -> Filter:
 
     stretches = np.zeros((buckets, bits // 8), dtype=np.uint8)
     ordered = counted.select("bucket", "kind", "grams", "counts").repartition("bucket").sortWithinPartitions("bucket")
-    for r in ordered.mapInArrow(build, "bucket int, bits binary").toLocalIterator():
+    for r in ordered.mapInArrow(releasing(build), "bucket int, bits binary").toLocalIterator():
         stretches[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
     return Filter(stretches, 65 - buckets.bit_length())
 
@@ -313,7 +313,7 @@ def score_texts(docs: DataFrame, model: Model, counted: DataFrame) -> DataFrame:
         model = shared.value
         for batch in batches:
             raw, offsets = text_bytes(batch.column(2))
-            for i, j in groups_of(np.diff(offsets), PIECE // 2):
+            for i, j in groups_of(np.diff(offsets), PIECE):
                 a, b = int(offsets[i]), int(offsets[j])
                 x = scores(model, raw[a:b], offsets[i : j + 1] - a)
                 new = [pa.array(x[:, 0].astype(np.int64)), pa.array(x[:, 1].astype(np.int64)), pa.array(np.full(j - i, model.total)), pa.array(x[:, 2]), pa.array(x[:, 3])]
@@ -322,11 +322,11 @@ def score_texts(docs: DataFrame, model: Model, counted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols + extra, names=[f.name for f in schema] + ["id", "th"][: len(extra)])
 
     if not by_join:
-        return lean.mapInArrow(run, SCORED)
+        return lean.mapInArrow(releasing(run), SCORED)
     keys = keyed(docs)
     lean = lean.withColumn("id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("th", F.xxhash64("text"))
     base = _joined_base(keys, counted, model)
-    wide = lean.mapInArrow(run, SCORED + ", id long, th long").drop("n_known", "base_score")
+    wide = lean.mapInArrow(releasing(run), SCORED + ", id long, th long").drop("n_known", "base_score")
     return wide.join(base, ["id", "th"], "left").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -337,7 +337,7 @@ def _joined_base(keys: DataFrame, counted: DataFrame, model: Model) -> DataFrame
         for batch in batches:
             ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             raw, offsets = text_bytes(batch.column(2))
-            for i, j in groups_of(np.diff(offsets), PIECE // 8):
+            for i, j in groups_of(np.diff(offsets), PIECE):
                 a, b = int(offsets[i]), int(offsets[j])
                 token, bounds = tokens(raw[a:b], offsets[i : j + 1] - a)
                 row = np.repeat(np.arange(j - i), np.diff(bounds))
@@ -354,8 +354,8 @@ def _joined_base(keys: DataFrame, counted: DataFrame, model: Model) -> DataFrame
                 for at in range(0, len(grams), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(grams[at : at + (1 << 16)]), pa.array(counts[at : at + (1 << 16)])], names=["gram", "c"])
 
-    asked = keys.mapInArrow(lay_out, "id long, th long, gram long, times long").groupBy("id", "th", "gram").agg(F.max("times").alias("times"))
-    known = counted.filter("kind = 1").select("grams", "counts").mapInArrow(unpack, "gram long, c long")
+    asked = keys.mapInArrow(releasing(lay_out), "id long, th long, gram long, times long").groupBy("id", "th", "gram").agg(F.max("times").alias("times"))
+    known = counted.filter("kind = 1").select("grams", "counts").mapInArrow(releasing(unpack), "gram long, c long")
     one = asked.join(known, "gram", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     room = float(model.total + model.distinct + 1)
     return one.groupBy("id", "th").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(room))).alias("base_score"))

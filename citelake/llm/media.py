@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import releasing
+
 TILE = 256
 #: A text's payload is padded to a multiple of this: 24 rows of 24 grey pixels, or 8 rows of 24 pixels of three samples.
 UNIT = 576
@@ -165,7 +167,7 @@ def _mapped(df: DataFrame, column: str, one, schema: str) -> DataFrame:
             kept = [batch.column(batch.schema.names.index(f.name)) for f in keep]
             yield pa.RecordBatch.from_arrays([*kept, *new], names=whole.fieldNames())
 
-    return df.mapInArrow(run, whole)
+    return df.mapInArrow(releasing(run), whole)
 
 
 def decode_media(df: DataFrame, column: str = "media") -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of, text_bytes, word_hashes, words_in
+from .common import groups_of, releasing, text_bytes, word_hashes, words_in
 
 #: Labelled rows learned from, at most: those whose id hashes lowest.
 SAMPLE = 20_000
@@ -170,7 +170,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str = "quality"
             x = document_features(*text_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), type=pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    rows = text.select("doc_id", "text", "_label").mapInArrow(run, "doc_id long, label double, x array<double>").orderBy(rank, "label").limit(sample).collect()
+    rows = text.select("doc_id", "text", "_label").mapInArrow(releasing(run), "doc_id long, label double, x array<double>").orderBy(rank, "label").limit(sample).collect()
     return np.array([r["x"] for r in rows]).reshape(len(rows), width), np.array([r["label"] for r in rows])
 
 

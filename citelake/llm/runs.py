@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, NO_ID, cut, groups_of, runs_by_minimum, text_bytes, word_hashes, words_in
+from .common import BYTE, NO_ID, cut, groups_of, releasing, runs_by_minimum, text_bytes, word_hashes, words_in
 
 RUNS = "id long, th long, start int, n int, key long, dig long"
 #: Items worked on at once.
@@ -64,7 +64,7 @@ def runs(docs: DataFrame, items_of, window: int, gram: int) -> DataFrame:
                             names=["id", "th", "start", "n", "key", "dig"],
                         )
 
-    return docs.mapInArrow(run, RUNS)
+    return docs.mapInArrow(releasing(run), RUNS)
 
 
 def shared_runs(found: DataFrame, repeated: Column) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut
+from .common import NO_ID, cut, releasing
 from .graph import components
 
 SEED = 42
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             out = [_signed(fingerprint(v.as_py(), shingle)) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(releasing(run), "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- the trie
@@ -265,8 +265,8 @@ def similar_links(distinct: DataFrame, budget: int, count: int) -> DataFrame:
                 pairs = own[order][np.array(links)].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    dealt = distinct.select("fp").mapInArrow(deal, "t int, key long, fp long").repartition("t", "key")
-    return dealt.mapInArrow(join, "a long, b long")
+    dealt = distinct.select("fp").mapInArrow(releasing(deal), "t int, key long, fp long").repartition("t", "key")
+    return dealt.mapInArrow(releasing(join), "a long, b long")
 
 
 # ---------------------------------------------------------------- operators
@@ -309,7 +309,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, budg
     id_, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
     lean = docs.select(id_.alias("id"), th.alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     first = cut(lean.select("id", "th").groupBy("th").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    texts = cut(lean.mapInArrow(run, "id long, th long, fp long, sketch binary").join(first.select("th", "id"), ["th", "id"]).dropDuplicates(["th"]))
+    texts = cut(lean.mapInArrow(releasing(run), "id long, th long, fp long, sketch binary").join(first.select("th", "id"), ["th", "id"]).dropDuplicates(["th"]))
     heads = texts.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("head")).select("fp", "head.th")
     classes = cut(heads)
     inner = texts.select("th", "fp").join(classes.select("fp", F.col("th").alias("head")), "fp").filter("th <> head").select(F.col("th").alias("a"), F.col("head").alias("b"))

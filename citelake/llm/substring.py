@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prefix_sums, stretch_hash, text_bytes
+from .common import cut, prefix_sums, releasing, stretch_hash, text_bytes
 from .runs import PIECE, by_key, covered, keyed, runs, shared_runs, spans_from, with_documents, with_parts, word_items
 from .suffix import SPANS
 
@@ -141,8 +141,8 @@ def repeat_spans(docs: DataFrame, k: int) -> DataFrame:
                     out.append({"key": r["key"], "dig": r["dig"], "n": r["n"], "spans": spans_from(flags)})
             yield pa.RecordBatch.from_pylist(out, schema=verdicts)
 
-    edges = with_documents(docs, asked, "inner").select("id", "text", "asked").mapInArrow(lay_out, "deal long, key long, dig long, n int, first long, at binary, edges binary")
-    partly = edges.repartition("deal").sortWithinPartitions("deal").mapInArrow(settle, f"key long, dig long, n int, spans {SPANS}")
+    edges = with_documents(docs, asked, "inner").select("id", "text", "asked").mapInArrow(releasing(lay_out), "deal long, key long, dig long, n int, first long, at binary, edges binary")
+    partly = edges.repartition("deal").sortWithinPartitions("deal").mapInArrow(releasing(settle), f"key long, dig long, n int, spans {SPANS}")
     partly = partly.groupBy("key", "dig", "n").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     paths = cut(distinct.select("key", "dig", "n", "glued", F.col("at.id").alias("first")).join(partly, ["key", "dig", "n"], "left"))
     marked = found.select("id", "th", "start", "n", "key", "dig").join(paths, ["key", "dig", "n"])
@@ -170,4 +170,4 @@ def remove_repeated_words(docs: DataFrame, k: int = 50) -> DataFrame:
                 cols[2].append([] if mask is None else spans_from(mask))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, type=f.type) for c, f in zip(cols, list(schema)[1:], strict=True)]], schema=schema)
 
-    return joined.mapInArrow(run, f"doc_id long, n_words long, kept string, removed {SPANS}")
+    return joined.mapInArrow(releasing(run), f"doc_id long, n_words long, kept string, removed {SPANS}")
