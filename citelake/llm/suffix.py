@@ -17,15 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, cut, mix, runs_by_minimum, sliding_min
+from .common import BYTE, cut, mix, releasing, runs_by_minimum, sliding_min
 from .runs import by_key, byte_items, covered, keyed, runs, shared_runs, spans_from, with_documents, with_parts
 
 #: Bytes of each gram whose hash keys a window.
 GRAM = 180
 #: Bytes of one shard's transform.
 SHARD = 1 << 17
+#: Tasks for the transforms, for each shuffle partition.
+TASKS = 4
 #: Bytes under one key beyond which it is dealt out by further minima.
-HOT = 1 << 20
+HOT = 1 << 19
 
 
 # ---------------------------------------------------------------- the transform
@@ -121,6 +123,8 @@ def _minima(data: bytes, length: int, seed: int) -> np.ndarray:
 
 def divide(data: bytes, length: int, rounds: int, first_seed: int = 1) -> list[tuple[int, int, int]]:
     """Splits a stretch's windows into runs (first window, number, key) by several minima together."""
+    if len(data) < length:
+        return []
     key = np.zeros(len(data) - length + 1, dtype=np.uint64)
     for r in range(rounds):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + _minima(data, length, first_seed + r))
@@ -128,27 +132,35 @@ def divide(data: bytes, length: int, rounds: int, first_seed: int = 1) -> list[t
     return [(int(a), int(b - a), int(key[a])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _decide(rows: list[dict], length: int, seed: int = 9):
-    """(row, flags of its windows) for the rows of some keys; equal windows are all in one call or in none."""
-    total = sum(len(r["data"]) + 1 for r in rows)
-    if total > 8 * SHARD and seed < 12 and len(rows) > 1:
-        parts: dict[int, list] = {}
-        for i, r in enumerate(rows):
-            for a, n, key in divide(r["data"], length, 2, seed):
-                parts.setdefault(key, []).append((i, a, r["data"][a : a + n + length - 1]))
-        flags = [np.zeros(len(r["data"]) - length + 1, dtype=bool) for r in rows]
-        held, size = [], 0
-        groups = list(parts.values())
-        for k, group in enumerate(groups):
-            held += group
-            size += sum(len(x[2]) for x in group)
-            if size >= SHARD or k == len(groups) - 1:
-                for (i, a, _), f in zip(held, [f for _, f in _decide([{"data": x[2]} for x in held], length, seed + 2)], strict=True):
-                    flags[i][a : a + len(f)] = f
-                held, size = [], 0
-        yield from zip(rows, flags, strict=True)
-    else:
-        yield from zip(rows, repeated_windows([r["data"] for r in rows], length), strict=True)
+def _decide(texts: list[bytes], length: int, seed: int = 9) -> list[np.ndarray]:
+    """repeated_windows() of distinct texts; a large lot is divided by further minima, where equal pieces count once."""
+    if sum(map(len, texts)) <= 2 * SHARD or seed >= 17 or len(texts) < 2:
+        return repeated_windows(texts, length)
+    parts: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+    for i, text in enumerate(texts):
+        for a, n, key in divide(text, length, 2, seed):
+            parts.setdefault(key, {}).setdefault(text[a : a + n + length - 1], []).append((i, a))
+    flags = [np.zeros(max(0, len(t) - length + 1), dtype=bool) for t in texts]
+    held: dict[bytes, list[tuple[int, int]]] = {}
+    groups = list(parts.values())
+    for k, group in enumerate(groups):
+        held |= group  # equal pieces have equal keys, so groups share none
+        if k == len(groups) - 1 or sum(map(len, held)) >= SHARD:
+            for (piece, places), f in zip(held.items(), _decide(list(held), length, seed + 2), strict=True):
+                for i, a in places:
+                    flags[i][a : a + len(piece) - length + 1] = f | (len(places) > 1)
+            held = {}
+    return flags
+
+
+def decide_rows(rows: list[dict], length: int):
+    """(row, flags of its windows) for the rows of some keys; all rows with a window of theirs are among them."""
+    places: dict[bytes, list[int]] = {}
+    for i, r in enumerate(rows):
+        places.setdefault(r["data"], []).append(i)
+    for own, f in zip(places.values(), _decide(list(places), length), strict=True):
+        for i in own:
+            yield rows[i], f | (len(own) > 1)
 
 
 SPANS = "array<struct<a:int,b:int>>"
@@ -188,13 +200,15 @@ def repeat_spans(docs: DataFrame, length: int) -> DataFrame:
     def settle(batches):
         for rows in by_key(batches, lambda r: len(r["data"]), SHARD):
             out = []
-            for r, flags in _decide(rows, length):
+            for r, flags in decide_rows(rows, length):
                 if r["copies"] == 1 and flags.any():
                     out.append({"key": r["key"], "dig": r["dig"], "n": r["n"], "spans": [{"a": s["a"] + r["off"], "b": s["b"] + r["off"]} for s in spans_from(flags)]})
             yield pa.RecordBatch.from_pylist(out, schema=verdicts)
 
-    stretches = with_documents(docs, asked, "inner").select("text", "asked").mapInArrow(fetch, "deal long, key long, dig long, n int, copies long, off int, data binary")
-    single = stretches.repartition("deal").sortWithinPartitions("deal").mapInArrow(settle, f"key long, dig long, n int, spans {SPANS}")
+    stretches = with_documents(docs, asked, "inner").select("text", "asked").mapInArrow(releasing(fetch), "deal long, key long, dig long, n int, copies long, off int, data binary")
+    # a number of its own: sorting and extending take far longer than the bytes, by which partitions are merged, tell
+    tasks = TASKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    single = stretches.repartition(tasks, "deal").sortWithinPartitions("deal").mapInArrow(releasing(settle), f"key long, dig long, n int, spans {SPANS}")
     whole = distinct.filter("copies > 1").select("key", "dig", "n", F.expr(f"cast(array(struct(0, n)) as {SPANS})").alias("spans"))
     gone = found.join(cut(whole.unionByName(single)), ["key", "dig", "n"]).select("id", "th", "start", F.explode("spans").alias("s"))
     return gone.groupBy("id", "th").agg(F.collect_list(F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))).alias("spans"))
@@ -223,4 +237,4 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 cols[2].append(gone)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, type=f.type) for c, f in zip(cols, list(schema)[1:], strict=True)]], schema=schema)
 
-    return joined.mapInArrow(run, f"doc_id long, n_bytes long, kept binary, removed {SPANS}")
+    return joined.mapInArrow(releasing(run), f"doc_id long, n_bytes long, kept binary, removed {SPANS}")

@@ -87,6 +87,21 @@ def test_odd_rows(spark, odd_rows):
         assert words_result(docs, 50) == without_repeated_words(rows, 50)
 
 
+def test_large_lots_are_divided(monkeypatch):
+    r = random.Random(8)
+    word = lambda n: bytes(r.choices(b"abcdefgh ", k=n))
+    common = word(700)
+    texts = list({word(r.randint(0, 300)) + common[r.randint(0, 200) : r.randint(500, 700)] + word(r.randint(0, 300)) for _ in range(60)}) + [b"ab" * 700, b"short"]
+    rows = [{"data": t} for t in texts + texts[:5]]
+    seen = Counter(t["data"][i : i + 400] for t in rows for i in range(len(t["data"]) - 399))
+    for shard in (1 << 17, 4000, 900):
+        monkeypatch.setattr(suffix, "SHARD", shard)
+        got = list(suffix.decide_rows(rows, 400))
+        assert len(got) == len(rows)
+        for row, flags in got:
+            assert flags.tolist() == [seen[row["data"][i : i + 400]] > 1 for i in range(len(row["data"]) - 399)]
+
+
 def test_runs_are_glued_where_paths_do_not_branch(spark):
     rows = [(1, "h", 0, 3, 10, "A"), (1, "h", 3, 2, 11, "B"), (1, "h", 5, 4, 12, "C"), (2, "i", 7, 3, 10, "A"), (2, "i", 10, 2, 11, "B"), (2, "i", 12, 4, 13, "D"), (3, "j", 0, 3, 10, "A"), (3, "j", 3, 2, 11, "B"), (3, "j", 9, 4, 12, "C")]
     df = spark.createDataFrame([(i, hash(t) % 1000, s, n, k, ord(d), True) for i, t, s, n, k, d in rows], "id long, th long, start int, n int, key long, dig long, many boolean")
