@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, releasing
+from .common import NO_ID, cut, groups_of, prefix_sums, releasing, stretch_hash, text_bytes, word_hashes, words_in
 from .graph import components
+from .runs import FEW, keyed
 
 SEED = 42
 #: Distinct fingerprints a group of one exact choice should hold on average, at most. Below that, comparing within
@@ -31,6 +32,11 @@ SEED = 42
 GROUP = 1024
 #: Shingle hashes kept for the similarity of two texts; texts with fewer shingles are compared exactly.
 SKETCH = 128
+#: Bytes of text whose shingles are worked on at once.
+PIECE = 1 << 20
+#: Slots of the hash space (by its top bits) in which shingles are counted for the order of prefixes.
+SLOTS = 1 << 20
+SLOT_SHIFT = np.uint64(44)
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -284,42 +290,174 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 3) -> Da
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, budget: int = 7) -> DataFrame:
-    """docs without near copies: of each group of similar texts the document of smallest doc_id stays.
+# ---------------------------------------------------------------- near copies
+
+
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of neighbouring texts, the text of each, and each text's number of them.
 
-    Candidates come from fingerprints over distinct words, which an edit moves little; a link counts if the texts'
-    shingle sets are similar enough by their sketches. Repeated rows of one document become one.
+    A text with fewer words than a shingle is one shingle, also one without words.
     """
+    starts, ends, at = words_in(raw, offsets)
+    sums = prefix_sums(word_hashes(raw, starts, ends, folded=True))
+    n = np.maximum(np.diff(at) - shingle + 1, 1)
+    row = np.repeat(np.arange(len(n)), n)
+    first = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    h = stretch_hash(sums, first, np.minimum(first + shingle, at[row + 1]))
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], row[new], np.bincount(row[new], minlength=len(n))
 
-    def run(batches):
+
+def _pieces(batches, column: int, shingle: int):
+    """batch, first and last row, and the shingle sets, of some rows at a time."""
+    for batch in batches:
+        raw, offsets = text_bytes(batch.column(column))
+        for i, j in groups_of(np.diff(offsets), PIECE):
+            a, b = int(offsets[i]), int(offsets[j])
+            yield batch, i, j, shingle_sets(raw[a:b], offsets[i : j + 1] - a, shingle)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
+
+
+def shingle_counts(lean: DataFrame, shingle: int) -> np.ndarray:
+    """How many texts' shingles fall on each slot of the hash space, up to 255 in each task.
+
+    A small table that sets frequent shingles apart; any values give the same near copies.
+    """
+    parts, width = 64, SLOTS // 64
+
+    def count(batches):
+        table = np.zeros(SLOTS, dtype=np.int64)
+        for _, _, _, (h, _, _) in _pieces(batches, 0, shingle):
+            table += np.bincount((h >> SLOT_SHIFT).astype(np.int64), minlength=SLOTS)
+        rows = np.minimum(table, 255).astype(np.uint8).reshape(parts, width)  # a byte for each, to send little
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["part", "counts"])
+
+    def add(batches):
+        sums = {}
         for batch in batches:
-            fps, sketches = [], []
-            for v in batch.column(2):
-                data = v.as_py().encode("utf-8")
-                fps.append(_signed(majority(_hash_bytes(features(data, 0)))))
-                sketches.append(sketch(data, shingle))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], names=["id", "th", "fp", "sketch"])
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_py(), np.uint8).astype(np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, (1 << 32) - 1).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
 
-    @F.pandas_udf("double")
-    def alike(a, b):
-        import pandas as pd
+    out = np.zeros((parts, width), dtype=np.uint32)
+    ddl = "part int, counts binary"
+    for r in lean.select("text").mapInArrow(releasing(count), ddl).repartition("part").mapInArrow(releasing(add), ddl).collect():
+        out[r["part"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.ravel()
 
-        return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    id_, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
-    lean = docs.select(id_.alias("id"), th.alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    first = cut(lean.select("id", "th").groupBy("th").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    texts = cut(lean.mapInArrow(releasing(run), "id long, th long, fp long, sketch binary").join(first.select("th", "id"), ["th", "id"]).dropDuplicates(["th"]))
-    heads = texts.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("head")).select("fp", "head.th")
-    classes = cut(heads)
-    inner = texts.select("th", "fp").join(classes.select("fp", F.col("th").alias("head")), "fp").filter("th <> head").select(F.col("th").alias("a"), F.col("head").alias("b"))
-    links = similar_links(classes, budget, classes.count())
-    outer = links.join(classes.select(F.col("fp").alias("a"), F.col("th").alias("x")), "a").join(classes.select(F.col("fp").alias("b"), F.col("th").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    pairs = inner.unionByName(outer).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sides = texts.select("th", "sketch")
-    pairs = pairs.join(sides.select(F.col("th").alias("a"), F.col("sketch").alias("x")), "a").join(sides.select(F.col("th").alias("b"), F.col("sketch").alias("y")), "b")
-    roots = components(pairs.filter(alike("x", "y") >= least).select("a", "b"))
-    rooted = first.select("th", "id").join(roots, F.col("th") == F.col("node"), "left").select("th", "id", F.coalesce("root", "th").alias("root"))
+def candidates(token, root, th, n, at, least: float, all_pairs: bool, most: int = 1 << 20):
+    """Pairs (arrays a < b of th) of texts under one token whose sizes and places allow the similarity.
+
+    Texts under one root are never paired. With all_pairs unset, only texts next to each other by size.
+    """
+    order = np.lexsort((th, n, token))
+    token, root, th, n, at = token[order], root[order], th[order], n[order], at[order]
+    if not len(token):
+        return
+    head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(token))))
+    mixed = (np.minimum.reduceat(root, head) != np.maximum.reduceat(root, head))[group]
+    root, th, n, at, group = root[mixed], th[mixed], n[mixed], at[mixed], group[mixed]
+    place = np.arange(len(group))
+    key = (group.astype(np.int64) << 32) + n
+    width = np.searchsorted(key, (group.astype(np.int64) << 32) + np.floor(n / least + 1e-9).astype(np.int64), side="right") - place - 1
+    if not all_pairs:
+        width = np.minimum(width, 1)
+    total = np.concatenate([[0], np.cumsum(width)])
+    start = 0
+    while start < len(place):
+        end = max(start + 1, int(np.searchsorted(total, total[start] + most, side="right")) - 1)
+        i = np.repeat(place[start:end], width[start:end])
+        j = i + 1 + np.arange(len(i)) - (total[i] - total[start])
+        start = end
+        need = np.ceil(least / (1 + least) * (n[i] + n[j]) - 1e-9)
+        m = (root[i] != root[j]) & (1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= need)
+        a, b = np.minimum(th[i[m]], th[j[m]]), np.maximum(th[i[m]], th[j[m]])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        if len(a):
+            yield a[new], b[new]
+
+
+def _whole(batches) -> list[np.ndarray]:
+    """The columns of all batches."""
+    parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """docs without near copies: of each group of similar texts the document of smallest doc_id stays.
+
+    Two texts are similar if their sets of shingles have at least that Jaccard similarity; similar texts form groups.
+    Every similar pair shares one of the first n - ceil(least n) + 1 shingles of either text's n in any order common to
+    all; rare ones come first here. All pairs under such a shingle whose sizes and places allow the similarity are
+    compared on their whole sets, but for pairs that compared ones have already joined: a first round takes
+    neighbours by size only, so that a dense group of true copies hangs together before all pairs are laid out.
+    Repeated rows of one document become one.
+    """
+    lean = keyed(docs)
+    often = lean.sparkSession.sparkContext.broadcast(shingle_counts(lean, shingle))
+
+    def prefixes(batches):
+        for batch, i, j, (h, row, n) in _pieces(batches, 2, shingle):
+            order = np.lexsort((h, often.value[(h >> SLOT_SHIFT).astype(np.int64)], row))
+            begin = np.cumsum(n) - n
+            size = (n - np.ceil(least * n - 1e-9) + 1).astype(np.int64)
+            inner = np.arange(len(h)) - begin[row] < size[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n), _lists(h[order][inner], size)], names=["id", "th", "n", "prefix"])
+
+    def repeated(batches):
+        columns = _whole(batches)
+        if columns:
+            _, back, times = np.unique(columns[0], return_inverse=True, return_counts=True)
+            m = np.flatnonzero(times[back] > 1)
+            for x in range(0, len(m), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[m[x : x + (1 << 16)]]) for c in columns], names=["token", "th", "n", "at"])
+
+    def paired(all_pairs):
+        def run(batches):
+            columns = _whole(batches)
+            if columns:
+                for a, b in candidates(*columns, least, all_pairs):
+                    for x in range(0, len(a), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([pa.array(a[x : x + (1 << 16)]), pa.array(b[x : x + (1 << 16)])], names=["a", "b"])
+
+        return run
+
+    def sets(batches):
+        for batch, i, j, (h, _, n) in _pieces(batches, 2, shingle):
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), _lists(h, n)], names=["th", "held"])
+
+    def similar(rows: DataFrame, all_pairs: bool) -> DataFrame:
+        """The pairs of one round that are similar on their whole sets."""
+        dealt = rows.select("token", "root", "th", "n", "at").repartition("token")
+        pairs = cut(dealt.mapInArrow(releasing(paired(all_pairs)), "a long, b long").distinct())
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct().join(first.select("th", "id"), "th"))
+        if wanted.count() <= FEW:
+            wanted = F.broadcast(wanted)
+        held = lean.join(wanted, ["id", "th"], "left_semi").select("id", "th", "text").mapInArrow(releasing(sets), "th long, held array<long>").dropDuplicates(["th"])
+        sides = pairs.join(held.select(F.col("th").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("th").alias("b"), F.col("held").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return cut(sides.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum")).filter(F.col("both") / (F.col("sum") - F.col("both")) >= least).select("a", "b"))
+
+    first = cut(lean.groupBy("th").agg(F.min("id").alias("id")))
+    texts = cut(lean.mapInArrow(releasing(prefixes), "id long, th long, n long, prefix array<long>").join(first, ["th", "id"]).dropDuplicates(["th", "id"]))
+    spread = texts.select("th", "n", F.posexplode("prefix").alias("at", "token")).select("token", "th", "n", F.col("at").cast("long").alias("at"))
+    shared = cut(spread.repartition("token").mapInArrow(releasing(repeated), "token long, th long, n long, at long"))
+    near = similar(shared.withColumn("root", F.col("th")), False)
+    joined = shared.join(components(near).withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    roots = components(near.unionByName(similar(joined, True)))
+    rooted = first.join(roots, F.col("th") == F.col("node"), "left").select("th", "id", F.coalesce("root", "th").alias("root"))
     stays = rooted.groupBy("root").agg(F.min(F.struct("id", "th")).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.th").alias("_th"))
-    keyed = docs.withColumn("_id", id_).withColumn("_th", th)
-    return keyed.join(stays, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    id_, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.withColumn("_id", id_).withColumn("_th", th).join(stays, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select(*docs.columns)

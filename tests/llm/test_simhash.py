@@ -133,3 +133,46 @@ def test_near_copies_odd_rows(spark, odd_rows):
     texts = [" ".join((r["text"] or "").split()) for r in got]
     assert texts.count("") == 1 and texts.count("a b c") == 1
     assert simhash.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def slow_survivors(rows):
+    """Least ids of the groups of similar texts, over all pairs."""
+    sets = {d: shingles(t) for d, t in rows}
+    ids = sorted(sets)
+    like = lambda a, b: not (a or b) or len(a & b) / len(a | b) >= 0.8
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if like(sets[a], sets[b])]
+    return set(closure(ids, near).values())
+
+
+def survivors(spark, rows):
+    return {r.doc_id for r in simhash.drop_near_copies(table(spark, rows)).select("doc_id").collect()}
+
+
+def test_near_copies_under_one_fingerprint(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    swapped = [*words[:90], words[91], words[90], *words[92:]]
+    rows = [(0, " ".join(r.sample(words, 200))), (1, " ".join(words)), (2, " ".join(swapped))]
+    assert survivors(spark, rows) == slow_survivors(rows) == {0, 1}
+
+
+def test_near_copies_of_dense_groups(spark):
+    """Templates with many fillings and long texts of one vocabulary, some close to the bound."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    form = r.choices(words, k=150)
+    rows = []
+    for i in range(120):
+        text = list(form) if i % 2 else r.choices(words, k=150)
+        if i % 6 == 0 and i:
+            text = rows[r.randrange(len(rows))][1].split()
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5, 8, 30])):
+            text[r.randrange(len(text))] = r.choice(words)
+        rows.append((i, " ".join(text)))
+    assert survivors(spark, rows) == slow_survivors(rows)
+
+
+def test_near_copies_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rows = [(d.doc_id, d.text) for d in docs]
+    assert survivors(spark, rows) == slow_survivors(rows)
