@@ -6,8 +6,8 @@ logarithm, and an n-gram of level l is written into the filter as the l pairs (n
 read back by asking for level 1, 2, ... until one is missing, so a false positive can only raise it. Every
 bucket owns a stretch of the filter and builds it alone; the stretches together are broadcast.
 
-The filter is sized by what it holds up to MAX_BITS, its proven bound. Beyond that the least count of a pair that is kept rises
-until the rest fits; pairs that are not kept back off to the word's own count. Exact word counts, which the base score
+The filter is sized by what it holds, pairs seen once included. Up to MAX_BITS it is broadcast; beyond that its stretches
+stay where they were built, the texts' n-grams are sent to them by hash, and the levels come back to the texts. Exact word counts, which the base score
 needs, are broadcast while there are at most DICTIONARY of them and joined by hash otherwise.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id is not held out; repeated rows all count
@@ -34,9 +34,10 @@ END = np.uint64(0xE4D0_5EED_0000_0001)
 LOG = 2.0
 PROBES = 4
 BITS_EACH = 8
+#: Size of a filter that may be broadcast.
 MAX_BITS = 1 << 28
 #: Least count of a word pair that the model keeps.
-LEAST_PAIR = 2
+LEAST_PAIR = 1
 #: Word counts that may be broadcast (12 bytes each).
 DICTIONARY = 8_000_000
 #: Words that the pair counts of a context are weighed against.
@@ -153,7 +154,7 @@ def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_grams(train: DataFrame, buckets: int, least_pair: int) -> DataFrame:
-    """bucket, kind (1 words, 2 pairs), grams and counts (sorted blocks), total, and levels (how many grams have each count level)."""
+    """bucket, kind (1 words, 2 pairs), grams and counts (sorted blocks; of pairs only the counts' levels, a byte each), total, and levels (how many grams have each count level)."""
 
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -182,7 +183,8 @@ def count_grams(train: DataFrame, buckets: int, least_pair: int) -> DataFrame:
             if rows[0]["kind"] == 2:
                 grams, counts = grams[counts >= least_pair], counts[counts >= least_pair]
             levels = np.bincount(level_of(counts), minlength=64)
-            return pa.RecordBatch.from_pylist([{"bucket": rows[0]["bucket"], "kind": rows[0]["kind"], "n": len(grams), "total": int(counts.sum()), "grams": grams.tobytes(), "counts": counts.tobytes(), "levels": levels.tolist()}], schema=out)
+            held = level_of(counts).astype(np.uint8) if rows[0]["kind"] == 2 else counts
+            return pa.RecordBatch.from_pylist([{"bucket": rows[0]["bucket"], "kind": rows[0]["kind"], "n": len(grams), "total": int(counts.sum()), "grams": grams.tobytes(), "counts": held.tobytes(), "levels": levels.tolist()}], schema=out)
 
         held = []
         for batch in batches:
@@ -205,27 +207,24 @@ class Model:
     distinct: int
     words: np.ndarray | None  # sorted hashes of the training words with their counts, if few enough
     counts: np.ndarray | None
+    bits: int  # places of each bucket's stretch
+    joined: bool  # the filter is too large to broadcast, and empty here
 
 
-def build_filter(counted: DataFrame, buckets: int, max_bits: int) -> Filter:
-    """The filter over counted grams, within max_bits."""
-    sums = np.zeros((3, 64), dtype=np.int64)
-    for r in counted.groupBy("kind").agg(*[F.sum(F.get("levels", F.lit(i))).alias(f"l{i}") for i in range(64)]).collect():
-        sums[r["kind"]] = [r[f"l{i}"] for i in range(64)]
-    weight = np.arange(64)
-    kept = {1: 1, 2: 1}  # the least level of each kind that is kept
-    held = lambda: sum(int((sums[k] * weight)[kept[k] :].sum()) for k in (1, 2))
-    while held() * BITS_EACH > max_bits and kept[1] < 63:
-        kept[2 if kept[2] < 63 else 1] += 1
-    bits = 1 << max(10, math.ceil(math.log2(max(1, held() * BITS_EACH / buckets))))
-    bits = min(bits, max(1 << 10, max_bits // buckets))
+def held_levels(counted: DataFrame) -> int:
+    """Entries of the filter: the levels of all counted grams."""
+    sums = counted.agg(*[F.coalesce(F.sum(F.get("levels", F.lit(i))), F.lit(0)).alias(f"l{i}") for i in range(64)]).first()
+    return sum(i * int(x) for i, x in enumerate(sums))
 
+
+def build_stretches(counted: DataFrame, bits: int) -> DataFrame:
+    """bucket and bits: the filter's stretch of each bucket of counted grams."""
     built = pa.schema([("bucket", pa.int32()), ("bits", pa.binary())])
 
     def build(batches):
         def done(bucket, parts):
-            grams, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            return pa.RecordBatch.from_pylist([{"bucket": bucket, "bits": fill(grams, level_of(counts), bits).tobytes()}], schema=built)
+            grams, levels = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            return pa.RecordBatch.from_pylist([{"bucket": bucket, "bits": fill(grams, levels, bits).tobytes()}], schema=built)
 
         now, parts = None, []
         for batch in batches:
@@ -234,15 +233,19 @@ def build_filter(counted: DataFrame, buckets: int, max_bits: int) -> Filter:
                     yield done(now, parts)
                     parts = []
                 now = r["bucket"]
-                grams, counts = np.frombuffer(r["grams"], np.uint64), np.frombuffer(r["counts"], np.int64)
-                m = level_of(counts) >= kept[r["kind"]]
-                parts.append((grams[m], counts[m]))
+                levels = np.frombuffer(r["counts"], np.uint8).astype(np.int64) if r["kind"] == 2 else level_of(np.frombuffer(r["counts"], np.int64))
+                parts.append((np.frombuffer(r["grams"], np.uint64), levels))
         if parts:
             yield done(now, parts)
 
-    stretches = np.zeros((buckets, bits // 8), dtype=np.uint8)
     ordered = counted.select("bucket", "kind", "grams", "counts").repartition("bucket").sortWithinPartitions("bucket")
-    for r in ordered.mapInArrow(releasing(build), "bucket int, bits binary").toLocalIterator():
+    return ordered.mapInArrow(releasing(build), "bucket int, bits binary")
+
+
+def build_filter(counted: DataFrame, buckets: int, bits: int) -> Filter:
+    """The whole filter over counted grams."""
+    stretches = np.zeros((buckets, bits // 8), dtype=np.uint8)
+    for r in build_stretches(counted, bits).toLocalIterator():
         stretches[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
     return Filter(stretches, 65 - buckets.bit_length())
 
@@ -262,7 +265,10 @@ def train_model(train: DataFrame, least_pair: int = LEAST_PAIR, max_bits: int =
             block = np.frombuffer(r["grams"], np.uint64)
             known[at : at + len(block)], counts[at : at + len(block)] = block, np.minimum(np.frombuffer(r["counts"], np.int64), (1 << 32) - 1)
             at += len(block)
-    return Model(build_filter(counted, buckets, max_bits), int(total), int(n), known, counts), counted
+    bits = 1 << max(10, math.ceil(math.log2(max(1, held_levels(counted) * BITS_EACH / buckets))))
+    joined = bits * buckets > max_bits
+    kept = Filter(np.zeros((buckets, 0), np.uint8), 65 - buckets.bit_length()) if joined else build_filter(counted, buckets, bits)
+    return Model(kept, int(total), int(n), known, counts, bits, joined), counted
 
 
 # ---------------------------------------------------------------- scoring
@@ -275,20 +281,38 @@ def _lookup(model: Model, grams: np.ndarray) -> np.ndarray:
     return np.where(model.words[at] == grams, model.counts[at].astype(np.int64), 0)
 
 
-def scores(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+@dataclass
+class Answers:
+    """Levels that were looked up elsewhere, for sorted grams."""
+
+    grams: np.ndarray
+    found: np.ndarray
+
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.grams, grams)]
+
+
+def asked(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The distinct grams, sorted, whose levels the texts' scores need."""
+    token, bounds = tokens(raw, offsets)
+    return np.unique(np.concatenate([token, pairs(token, bounds)]))
+
+
+def scores(model: Model, raw: np.ndarray, offsets: np.ndarray, filter: Filter | Answers | None = None) -> np.ndarray:
     """Rows of n_tokens, n_known, base score and model score; the base is right only with a dictionary."""
+    filter = filter or model.filter
     token, bounds = tokens(raw, offsets)
     value, back = np.unique(token, return_inverse=True)
     exact = _lookup(model, value)
     room = model.total + model.distinct + 1
-    word = count_of(model.filter.levels(value))
+    word = count_of(filter.levels(value))
     own = (word + 1) / (model.total + model.distinct + 1)
     before = np.empty(len(token), dtype=np.int64)
     before[1:] = back[:-1]
     end = int(np.searchsorted(value, END))
     before[bounds[:-1]] = end
     pair, again = np.unique(pairs(token, bounds), return_inverse=True)
-    seen = np.minimum(count_of(model.filter.levels(pair))[again], np.minimum(word[back], word[before]))
+    seen = np.minimum(count_of(filter.levels(pair))[again], np.minimum(word[back], word[before]))
     p = (seen + MASS * own[back]) / (word[before] + MASS)
     base = np.log10((exact + 1) / room)[back]
 
@@ -309,27 +333,105 @@ def score_texts(docs: DataFrame, model: Model, counted: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     by_join = model.words is None
 
-    def run(batches):
+    def run(batches, filter=None):
         model = shared.value
         for batch in batches:
             raw, offsets = text_bytes(batch.column(2))
             for i, j in groups_of(np.diff(offsets), PIECE):
                 a, b = int(offsets[i]), int(offsets[j])
-                x = scores(model, raw[a:b], offsets[i : j + 1] - a)
+                x = scores(model, raw[a:b], offsets[i : j + 1] - a, filter)
                 new = [pa.array(x[:, 0].astype(np.int64)), pa.array(x[:, 1].astype(np.int64)), pa.array(np.full(j - i, model.total)), pa.array(x[:, 2]), pa.array(x[:, 3])]
                 cols = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *new]
                 extra = [batch.column(3).slice(i, j - i), batch.column(4).slice(i, j - i)] if by_join else []
                 yield pa.RecordBatch.from_arrays(cols + extra, names=[f.name for f in schema] + ["id", "th"][: len(extra)])
 
+    def scored(rows: DataFrame, ddl: str) -> DataFrame:
+        return _scored_by_hash(rows, run, build_stretches(counted, model.bits), model.filter.shift, ddl) if model.joined else rows.mapInArrow(releasing(run), ddl)
+
     if not by_join:
-        return lean.mapInArrow(releasing(run), SCORED)
+        return scored(lean, SCORED)
     keys = keyed(docs)
     lean = lean.withColumn("id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("th", F.xxhash64("text"))
     base = _joined_base(keys, counted, model)
-    wide = lean.mapInArrow(releasing(run), SCORED + ", id long, th long").drop("n_known", "base_score")
+    wide = scored(lean, SCORED + ", id long, th long").drop("n_known", "base_score")
     return wide.join(base, ["id", "th"], "left").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def _scored_by_hash(rows: DataFrame, run, stretches: DataFrame, shift: int, ddl: str) -> DataFrame:
+    """What run makes of rows with the levels that the stretches hold, each asked where it was built.
+
+    A piece is some neighbouring rows of a partition, named by the partition and its place there.
+    """
+    buckets = 1 << 64 - shift
+
+    def laid_out(ask: bool):
+        def lay(batches):
+            from pyspark import TaskContext
+
+            name = TaskContext.get().partitionId() << 32
+            for batch in batches:
+                raw, offsets = text_bytes(batch.column(2))
+                for i, j in groups_of(np.diff(offsets), PIECE):
+                    if ask:
+                        a, b = int(offsets[i]), int(offsets[j])
+                        grams = asked(raw[a:b], offsets[i : j + 1] - a)
+                        edge = np.searchsorted(grams, np.arange(1, buckets, dtype=np.uint64) << np.uint64(shift))
+                        split = [(k, x.tobytes()) for k, x in enumerate(np.split(grams, edge)) if len(x)]
+                    else:
+                        part = pa.Table.from_batches([batch.slice(i, j - i)]).combine_chunks()
+                        sink = pa.BufferOutputStream()
+                        with pa.ipc.new_stream(sink, part.schema) as to:
+                            to.write_table(part)
+                        split = [(-1, sink.getvalue().to_pybytes())]
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in split], pa.int32()), pa.array([name] * len(split), pa.int64()), pa.array([x for _, x in split], pa.binary())], names=["bucket", "piece", "data"])
+                    name += 1
+
+        return rows.mapInArrow(releasing(lay), "bucket int, piece long, data binary")
+
+    def answer(batches):
+        now, here = None, None
+        for batch in batches:
+            out = []
+            for bucket, piece, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if piece < 0:
+                    now, here = bucket, Filter(np.frombuffer(data, np.uint8)[None, :], 64)
+                    continue
+                grams = np.frombuffer(data, np.uint64)
+                found = here.levels(grams) if now == bucket else np.zeros(len(grams))  # a bucket without a stretch holds nothing
+                out.append((bucket, piece, found.astype(np.uint8).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "piece", "data"])
+
+    def meet(batches):
+        def done(data, found):
+            with pa.ipc.open_stream(data) as part:
+                for batch in part:
+                    raw, offsets = text_bytes(batch.column(2))
+                    a, b = int(offsets[0]), int(offsets[-1])
+                    grams, levels = asked(raw[a:b], offsets - a), np.concatenate(found).astype(np.int64)
+                    if len(grams) != len(levels):
+                        raise ValueError("the rows came in another order when they were read again")
+                    yield from run([batch], Answers(grams, levels))
+
+        now, data, found = None, None, []
+        for batch in batches:
+            for bucket, piece, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if piece != now:
+                    if now is not None:
+                        yield from done(data, found)
+                    now, found = piece, []
+                if bucket < 0:
+                    data = x
+                else:
+                    found.append(np.frombuffer(x, np.uint8))
+        if now is not None:
+            yield from done(data, found)
+
+    held = stretches.select("bucket", F.lit(-1).cast("long").alias("piece"), F.col("bits").alias("data"))
+    answers = laid_out(True).unionByName(held).repartition("bucket").sortWithinPartitions("bucket", "piece").mapInArrow(releasing(answer), "bucket int, piece long, data binary")
+    return laid_out(False).unionByName(answers).repartition("piece").sortWithinPartitions("piece", "bucket").mapInArrow(releasing(meet), ddl)
+
+
 def _joined_base(keys: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
     """id, th, n_known and base_score by a join of each text's distinct tokens with the counts."""
 

@@ -67,6 +67,20 @@ def test_pairs_make_seen_text_likelier(spark):
     assert got[late[0]].score > max(got[i].score for i in late[1:]) and got[late[0]].score > got[late[0]].base_score
 
 
+@pytest.mark.parametrize("dictionary", [lm.DICTIONARY, 0])
+def test_scores_do_not_depend_on_the_filters_place(spark, prose, odd_rows, dictionary):
+    docs = table(spark, prose + odd_rows)
+    plain = lambda rows: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows.collect()), key=repr)
+    assert plain(lm.score_documents(docs, dictionary=dictionary, max_bits=1 << 10)) == plain(lm.score_documents(docs, dictionary=dictionary))
+
+
+def test_pairs_seen_once_are_kept(spark):
+    raw = np.frombuffer(b"one two three", np.uint8)
+    token, bounds = lm.tokens(raw, np.array([0, len(raw)]))
+    model, _ = lm.train_model(table(spark, [(1, "one two three")]).select("text"))
+    assert (model.filter.levels(lm.pairs(token, bounds)) >= 1).all()
+
+
 # ---------------------------------------------------------------- leaks
 
 
