@@ -14,7 +14,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +30,14 @@ SEED = 42
 #: Distinct fingerprints a group of one exact choice should hold on average, at most. Below that, comparing within
 #: groups costs less than the rows of one more choice of blocks.
 GROUP = 1024
-#: Shingle hashes kept for the similarity of two texts; texts with fewer shingles are compared exactly.
-SKETCH = 128
 #: Bytes of text whose shingles are worked on at once.
 PIECE = 1 << 20
 #: Slots of the hash space (by its top bits) in which shingles are counted for the order of prefixes.
 SLOTS = 1 << 20
 SLOT_SHIFT = np.uint64(44)
+#: Words (of 64 bits) of a text's parity marks, and neighbours by size that a text is first compared with.
+MARKS = 4
+NEIGHBOURS = 16
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -79,20 +80,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def sketch(text: bytes, shingle: int = 5, size: int = SKETCH) -> bytes:
-    """The least hashes of a text's distinct shingles, ascending."""
-    h = np.unique(np.frombuffer(_hash_bytes(features(text, shingle)), dtype=">u8").astype(np.uint64))
-    return h[:size].tobytes()
-
-
-def similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """Jaccard similarity of two shingle sets from their sketches; exact while both are whole."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = np.union1d(x, y)
-    both = both if max(len(x), len(y)) < size else both[:size]
-    return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
-
-
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint's bits as a signed number."""
 
@@ -353,34 +340,67 @@ def shingle_counts(lean: DataFrame, shingle: int) -> np.ndarray:
     return out.ravel()
 
 
-def candidates(token, root, th, n, at, least: float, all_pairs: bool, most: int = 1 << 20):
-    """Pairs (arrays a < b of th) of texts under one token whose sizes and places allow the similarity.
+def parity_marks(h: np.ndarray, row: np.ndarray, texts: int) -> np.ndarray:
+    """MARKS words for each text: bits that its shingles flip. Two texts' marks differ in no more bits than their sets do in shingles."""
+    flips = np.bincount(row * (64 * MARKS) + (h % np.uint64(64 * MARKS)).astype(np.int64), minlength=texts * 64 * MARKS)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(texts, -1), axis=1).view(np.uint64)
+
+
+def _laid_out(rows: np.ndarray, first: np.ndarray, count: np.ndarray, most: int):
+    """Pairs (row, place) for the places first to first + count - 1 of each row, some at a time."""
+    total = np.concatenate([[0], np.cumsum(count)])
+    start = 0
+    while start < len(rows):
+        end = max(start + 1, int(np.searchsorted(total, total[start] + most, side="right")) - 1)
+        own = count[start:end]
+        place = np.repeat(first[start:end] - total[start:end], own) + np.arange(total[start], total[end])
+        yield np.repeat(rows[start:end], own), place
+        start = end
 
-    Texts under one root are never paired. With all_pairs unset, only texts next to each other by size.
+
+def candidates(token, root, th, n, at, marks, least: float, width: int | None, most: int = 1 << 20):
+    """Pairs (arrays a < b of th) of texts under one token whose sizes, places and marks allow the similarity.
+
+    Texts under one root are never paired. width: only so many neighbours by size (None: all). With all, texts of the
+    root that is commonest under a token are met by the others only, so a joined group costs nothing, however large.
     """
     order = np.lexsort((th, n, token))
-    token, root, th, n, at = token[order], root[order], th[order], n[order], at[order]
+    token, root, th, n, at = token[order], root[order], th[order], n[order].astype(np.int64), at[order]
+    marks = None if marks is None else marks[order]
     if not len(token):
         return
     head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(token))))
-    mixed = (np.minimum.reduceat(root, head) != np.maximum.reduceat(root, head))[group]
-    root, th, n, at, group = root[mixed], th[mixed], n[mixed], at[mixed], group[mixed]
-    place = np.arange(len(group))
-    key = (group.astype(np.int64) << 32) + n
-    width = np.searchsorted(key, (group.astype(np.int64) << 32) + np.floor(n / least + 1e-9).astype(np.int64), side="right") - place - 1
-    if not all_pairs:
-        width = np.minimum(width, 1)
-    total = np.concatenate([[0], np.cumsum(width)])
-    start = 0
-    while start < len(place):
-        end = max(start + 1, int(np.searchsorted(total, total[start] + most, side="right")) - 1)
-        i = np.repeat(place[start:end], width[start:end])
-        j = i + 1 + np.arange(len(i)) - (total[i] - total[start])
-        start = end
+    key, high = (group << 32) + n, (group << 32) + np.floor(n / least + 1e-9).astype(np.int64)
+    place = np.arange(len(key))
+    if width is not None:
+        count = np.minimum(np.searchsorted(key, high, side="right") - place - 1, width)
+        found = _laid_out(place, place + 1, count, most)
+    else:
+        by_root = np.lexsort((root, group))
+        new = np.concatenate([[True], (group[by_root][1:] != group[by_root][:-1]) | (root[by_root][1:] != root[by_root][:-1])])
+        size = np.diff(np.append(np.flatnonzero(new), len(key)))
+        of = np.empty(len(key), dtype=np.int64)
+        of[by_root] = np.cumsum(new) - 1
+        largest = np.zeros(len(head), dtype=np.int64)
+        np.maximum.at(largest, group, size[of])
+        first_of = np.full(len(head), len(size))
+        np.minimum.at(first_of, group, np.where(size[of] == largest[group], of, len(size)))
+        common = of == first_of[group]
+        other, usual = place[~common], place[common]
+        low = (group << 32) + np.ceil(n * least - 1e-9).astype(np.int64)
+        after = np.searchsorted(key[other], high[other], side="right") - np.arange(len(other)) - 1
+        begin = np.searchsorted(key[usual], low[other])
+        across = np.searchsorted(key[usual], high[other], side="right") - begin
+        found = chain(((i, other[k]) for i, k in _laid_out(other, np.arange(len(other)) + 1, after, most)), ((i, usual[k]) for i, k in _laid_out(other, begin, across, most)))
+    for i, j in found:
         need = np.ceil(least / (1 + least) * (n[i] + n[j]) - 1e-9)
-        m = (root[i] != root[j]) & (1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= need)
-        a, b = np.minimum(th[i[m]], th[j[m]]), np.maximum(th[i[m]], th[j[m]])
+        m = (root[i] != root[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need)
+        i, j, need = i[m], j[m], need[m]
+        if marks is not None:
+            m = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1) <= n[i] + n[j] - 2 * need
+            i, j = i[m], j[m]
+        a, b = np.minimum(th[i], th[j]), np.maximum(th[i], th[j])
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         new = np.ones(len(a), dtype=bool)
@@ -395,15 +415,24 @@ def _whole(batches) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
+def _marked(column: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.tolist()), np.uint64).reshape(-1, MARKS)
+
+
 def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """docs without near copies: of each group of similar texts the document of smallest doc_id stays.
 
     Two texts are similar if their sets of shingles have at least that Jaccard similarity; similar texts form groups.
     Every similar pair shares one of the first n - ceil(least n) + 1 shingles of either text's n in any order common to
-    all; rare ones come first here. All pairs under such a shingle whose sizes and places allow the similarity are
+    all; rare ones come first here. All pairs under such a shingle whose sizes, places and marks allow the similarity are
     compared on their whole sets, but for pairs that compared ones have already joined: a first round takes
-    neighbours by size only, so that a dense group of true copies hangs together before all pairs are laid out.
-    Repeated rows of one document become one.
+    NEIGHBOURS by size only, so that a dense group of true copies hangs together before all pairs are laid out. The
+    second drops what the marks rule out: parities of the shingles' hashes, which differ in at most as many bits as
+    the sets in shingles, so they never part a similar pair.
+
+    Defined cases: texts without words are near copies of each other; a text with fewer words than a shingle is one
+    shingle; a null doc_id is larger than all others; repeated rows of one document become one; very long texts are
+    compared whole; an empty table gives no rows; all columns are kept, also those named like the ones used inside.
     """
     lean = keyed(docs)
     often = lean.sparkSession.sparkContext.broadcast(shingle_counts(lean, shingle))
@@ -414,7 +443,8 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
             begin = np.cumsum(n) - n
             size = (n - np.ceil(least * n - 1e-9) + 1).astype(np.int64)
             inner = np.arange(len(h)) - begin[row] < size[row]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n), _lists(h[order][inner], size)], names=["id", "th", "n", "prefix"])
+            marks = [m.tobytes() for m in parity_marks(h, row, j - i)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n, pa.int32()), pa.array(marks, pa.binary()), _lists(h[order][inner], size)], names=["id", "th", "n", "marks", "prefix"])
 
     def repeated(batches):
         columns = _whole(batches)
@@ -424,11 +454,12 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
             for x in range(0, len(m), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c[m[x : x + (1 << 16)]]) for c in columns], names=["token", "th", "n", "at"])
 
-    def paired(all_pairs):
+    def paired(width):
         def run(batches):
             columns = _whole(batches)
             if columns:
-                for a, b in candidates(*columns, least, all_pairs):
+                token, root, th, n, at, *marks = columns
+                for a, b in candidates(token, root, th, n, at, _marked(marks[0]) if marks else None, least, width):
                     for x in range(0, len(a), 1 << 16):
                         yield pa.RecordBatch.from_arrays([pa.array(a[x : x + (1 << 16)]), pa.array(b[x : x + (1 << 16)])], names=["a", "b"])
 
@@ -438,11 +469,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
         for batch, i, j, (h, _, n) in _pieces(batches, 2, shingle):
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), _lists(h, n)], names=["th", "held"])
 
-    def similar(rows: DataFrame, all_pairs: bool) -> DataFrame:
+    def similar(rows: DataFrame, width: int | None) -> DataFrame:
         """The pairs of one round that are similar on their whole sets."""
-        dealt = rows.select("token", "root", "th", "n", "at").repartition("token")
-        pairs = cut(dealt.mapInArrow(releasing(paired(all_pairs)), "a long, b long").distinct())
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct().join(first.select("th", "id"), "th"))
+        pairs = cut(rows.repartition("token").mapInArrow(releasing(paired(width)), "a long, b long").distinct())
+        ends = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
+        wanted = cut(ends.join(first.select("th", "id"), "th"))
         if wanted.count() <= FEW:
             wanted = F.broadcast(wanted)
         held = lean.join(wanted, ["id", "th"], "left_semi").select("id", "th", "text").mapInArrow(releasing(sets), "th long, held array<long>").dropDuplicates(["th"])
@@ -451,13 +482,14 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
         return cut(sides.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum")).filter(F.col("both") / (F.col("sum") - F.col("both")) >= least).select("a", "b"))
 
     first = cut(lean.groupBy("th").agg(F.min("id").alias("id")))
-    texts = cut(lean.mapInArrow(releasing(prefixes), "id long, th long, n long, prefix array<long>").join(first, ["th", "id"]).dropDuplicates(["th", "id"]))
-    spread = texts.select("th", "n", F.posexplode("prefix").alias("at", "token")).select("token", "th", "n", F.col("at").cast("long").alias("at"))
-    shared = cut(spread.repartition("token").mapInArrow(releasing(repeated), "token long, th long, n long, at long"))
-    near = similar(shared.withColumn("root", F.col("th")), False)
-    joined = shared.join(components(near).withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
-    roots = components(near.unionByName(similar(joined, True)))
+    texts = cut(lean.mapInArrow(releasing(prefixes), "id long, th long, n int, marks binary, prefix array<long>").join(first, ["th", "id"]).dropDuplicates(["th", "id"]))
+    spread = texts.select("th", "n", F.posexplode("prefix").alias("at", "token")).select("token", "th", "n", "at")
+    shared = cut(spread.repartition("token").mapInArrow(releasing(repeated), "token long, th long, n int, at int"))
+    near = similar(shared.select("token", F.col("th").alias("root"), "th", "n", "at"), NEIGHBOURS)
+    named = texts.select("th", "marks").join(components(near).withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    roots = components(near.unionByName(similar(shared.join(named, "th").select("token", "root", "th", "n", "at", "marks"), None)))
     rooted = first.join(roots, F.col("th") == F.col("node"), "left").select("th", "id", F.coalesce("root", "th").alias("root"))
-    stays = rooted.groupBy("root").agg(F.min(F.struct("id", "th")).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.th").alias("_th"))
+    stays = rooted.groupBy("root").agg(F.min(F.struct("id", "th")).alias("s")).select(F.col("s.id").alias("__near_id"), F.col("s.th").alias("__near_th"))
     id_, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.withColumn("_id", id_).withColumn("_th", th).join(stays, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    keys = ["__near_id", "__near_th"]
+    return docs.withColumn(keys[0], id_).withColumn(keys[1], th).join(stays, keys).dropDuplicates(keys).select(*docs.columns)

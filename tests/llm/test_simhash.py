@@ -1,5 +1,6 @@
 """Brute-force versions of fingerprints, the trie self-join, components and near-copy removal."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -93,11 +94,33 @@ def shingles(text):
     return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_similarity_is_exact_for_short_texts():
-    a, b = "a b c d e f g h i j k l", "a b c d e f g h i x k l"
-    want = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
-    assert simhash.similarity(simhash.sketch(a.encode()), simhash.sketch(b.encode())) == pytest.approx(want)
-    assert simhash.similarity(b"", b"") == 1.0
+def test_candidates_against_brute_force():
+    rng = np.random.default_rng(4)
+    texts = 40
+    sets = [np.unique(rng.integers(0, 1 << 62, 400 if k % 3 else 30).astype(np.uint64)) for k in range(texts)]
+    for k in range(1, texts):
+        if k % 4:
+            own = sets[k - 1].copy()
+            own[: rng.integers(0, len(own) // 3)] += np.uint64(1)
+            sets[k] = np.unique(own)
+    n = np.array([len(x) for x in sets])
+    marks = simhash.parity_marks(np.concatenate(sets), np.repeat(np.arange(texts), n), texts)
+    apart = np.bitwise_count(marks[:, None] ^ marks[None]).sum(axis=2)
+    assert all(apart[i, j] <= len(np.setxor1d(sets[i], sets[j])) for i in range(texts) for j in range(texts))
+    token, th = np.repeat(np.arange(5), texts), np.tile(np.arange(texts), 5)
+    at, root = rng.integers(0, 4, len(th)), np.where(th % 3 == 0, th, th % 2)
+    need = lambda a, b: math.ceil(0.8 / 1.8 * (n[a] + n[b]) - 1e-9)
+    for most in (1 << 20, 7):
+        got = {p for a, b in simhash.candidates(token, root, th, n[th], at, marks[th], 0.8, None, most) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        want = set()
+        for t in range(5):
+            for a in range(texts):
+                for b in range(a + 1, texts):
+                    x, y = at[t * texts + a], at[t * texts + b]
+                    small, large = sorted((n[a], n[b]))
+                    if root[a] != root[b] and large <= math.floor(small / 0.8 + 1e-9) and min(n[a] - x, n[b] - y) >= need(a, b) and apart[a, b] <= n[a] + n[b] - 2 * need(a, b):
+                        want.add((a, b))
+        assert got == want and len(want) > 10
 
 
 def test_near_copies_against_brute_force(spark):
