@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,12 +61,19 @@ def releasing(run):
     return held
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one where none is set and all runs in this process."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder named by spark.checkpoint.dir; a local one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -193,9 +202,20 @@ def words_in(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, bounds)
 
 
+#: Words longer than this get a hash of another kind: polynomials modulo 2^64 take some long words for equal.
+LONG_WORD = 255
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False, piece: int = 1 << 19) -> np.ndarray:
     """A 64-bit hash of each word."""
-    table = BYTE_FOLDED if folded else BYTE
+    out = _short_word_hashes(raw, starts, ends, BYTE_FOLDED if folded else BYTE, piece)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        word = raw[starts[i] : ends[i]].tobytes()
+        out[i] = xxhash.xxh3_64_intdigest(word.lower() if folded else word)
+    return out
+
+
+def _short_word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, piece: int) -> np.ndarray:
     if len(raw) <= piece:
         return stretch_hash(prefix_sums(table[raw]), starts, ends)
     out, i = np.empty(len(starts), dtype=np.uint64), 0
@@ -219,12 +239,18 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def runs_by_minimum(items: np.ndarray, bounds: np.ndarray, window: int, gram: int):
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """xxh3 of each stretch of data: unlike a polynomial's, its collisions follow no pattern of the items."""
+    view, wide = memoryview(np.ascontiguousarray(data)).cast("B"), data.itemsize
+    return np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip((start * wide).tolist(), (end * wide).tolist(), strict=True)], dtype=np.uint64)
+
+
+def runs_by_minimum(items: np.ndarray, bounds: np.ndarray, window: int, gram: int, data: np.ndarray):
     """Splits the windows of neighbouring sequences into runs that share their least gram hash.
 
     Equal windows have equal minima, so they fall under the same key wherever they stand. A run also ends where
-    its leftmost least gram drops out, so equal windows are never in one run twice. Returns the position of
-    each run's first window, its number of windows, its key, and a digest of all its items.
+    its leftmost least gram drops out, so equal windows are never in one run twice. data: what the items stand for.
+    Returns the position of each run's first window, its number of windows, its key, and a digest of all its data.
     """
     n = len(items)
     none = np.zeros(0, np.int64)
@@ -247,4 +273,4 @@ def runs_by_minimum(items: np.ndarray, bounds: np.ndarray, window: int, gram: in
     start = np.flatnonzero(fresh)
     stops = np.flatnonzero(stop)
     end = stops[np.searchsorted(stops, start, side="right")]
-    return start, end - start, least[start], stretch_hash(sums, start, end + window - 1)
+    return start, end - start, least[start], digests(data, start, end + window - 1)

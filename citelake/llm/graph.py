@@ -16,7 +16,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and root (the least node of its component) for every node of edges (a, b).
 
     Each round points a node's larger neighbours, then its smaller ones, at the least of them. A hub's edges are
-    spread by the join, never gathered; each round is written to the checkpoint folder.
+    spread by the join, never gathered; each round is written to the checkpoint folder. Without edges there are no
+    rows; loops and repeated edges change nothing; an edge with a null end counts for nothing. It raises if the
+    rounds do not suffice.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     seen = _state(now)
@@ -33,5 +35,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -27,22 +27,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def byte_items(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return BYTE[raw], offsets
+def byte_items(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A value for each item, the sequences' bounds, and what digests are made of."""
+    return BYTE[raw], offsets, raw
 
 
-def word_items(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_items(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, at = words_in(raw, offsets)
-    return word_hashes(raw, starts, ends), at
+    hashes = word_hashes(raw, starts, ends)
+    return hashes, at, hashes
 
 
-def _pieces(items: np.ndarray, bounds: np.ndarray, window: int, gram: int):
+def _pieces(items: np.ndarray, bounds: np.ndarray, data: np.ndarray, window: int, gram: int):
     """Runs of neighbouring sequences; a long stretch is cut into overlapping pieces, each window in one of them."""
     for at in range(0, max(1, len(items) - window + 1), PIECE):
         end = min(len(items), at + PIECE + window - 1)
         inner = np.unique(np.clip(bounds, at, end)) - at
         if len(inner) > 1:
-            start, n, key, dig = runs_by_minimum(items[at:end], inner, window, gram)
+            start, n, key, dig = runs_by_minimum(items[at:end], inner, window, gram, data[at:end])
             yield start + at, n, key, dig
 
 
@@ -55,8 +57,8 @@ def runs(docs: DataFrame, items_of, window: int, gram: int) -> DataFrame:
             raw, offsets = text_bytes(batch.column(2))
             for i, j in groups_of(np.diff(offsets), PIECE):
                 a, b = int(offsets[i]), int(offsets[j])
-                items, bounds = items_of(raw[a:b], offsets[i : j + 1] - a)
-                for start, n, key, dig in _pieces(items, bounds, window, gram):
+                items, bounds, data = items_of(raw[a:b], offsets[i : j + 1] - a)
+                for start, n, key, dig in _pieces(items, bounds, data, window, gram):
                     if len(start):
                         row = np.searchsorted(bounds, start, side="right") - 1
                         yield pa.RecordBatch.from_arrays(
