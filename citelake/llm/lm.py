@@ -7,11 +7,14 @@ read back by asking for level 1, 2, ... until one is missing, so a false positiv
 bucket owns a stretch of the filter and builds it alone; the stretches together are broadcast.
 
 The filter is sized by what it holds, pairs seen once included. Up to MAX_BITS it is broadcast; beyond that its stretches
-stay where they were built, the texts' n-grams are sent to them by hash, and the levels come back to the texts. Exact word counts, which the base score
-needs, are broadcast while there are at most DICTIONARY of them and joined by hash otherwise.
+stay where they were built, the texts' n-grams are sent to them by hash, and the levels come back to the texts: the scores
+are the same. The number of buckets follows the bytes of training text, so one bucket's counts take bounded memory
+however large the corpus. Exact word counts, which the base score needs, are broadcast while there are at most
+DICTIONARY of them and joined by hash otherwise.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id is not held out; repeated rows all count
-and get equal scores; with no training texts every count is 0; an empty table gives no rows; other columns are ignored.
+and get equal scores; with no training texts every count is 0; very long texts are scored whole, one at a time; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +37,10 @@ END = np.uint64(0xE4D0_5EED_0000_0001)
 LOG = 2.0
 PROBES = 4
 BITS_EACH = 8
-#: Size of a filter that may be broadcast.
-MAX_BITS = 1 << 28
+#: Size of a filter that may be broadcast (256 MB).
+MAX_BITS = 1 << 31
+#: Bytes of training text whose n-grams fall into one bucket, about.
+BUCKET = 16 << 20
 #: Least count of a word pair that the model keeps.
 LEAST_PAIR = 1
 #: Word counts that may be broadcast (12 bytes each).
@@ -81,20 +86,24 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.maximum(1.0, (low + low * LOG - 1) / 2), 0.0)
 
 
-def _spots(gram: np.ndarray, level: np.ndarray | int, bits: int):
-    """The places of (n-gram, level) within its bucket's stretch."""
-    h = mix(gram * np.uint64(0xD6E8FEB86659FD93) + np.asarray(level).astype(np.uint64))
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    for i in range(PROBES):
-        yield ((h + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64)
+def _halves(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit hashes of (n-gram, level), from which its probes are made."""
+    h = mix(grams * np.uint64(0xD6E8FEB86659FD93) + np.uint64(level))
+    return h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+
+
+def _spot(h: np.ndarray, step: np.ndarray, i: int, bits: int) -> np.ndarray:
+    """The place of a probe among so many, by multiplication, so that any number under 2^32 will do."""
+    return (((h + np.uint64(i) * step & np.uint64(0xFFFFFFFF)) * np.uint64(bits)) >> np.uint64(32)).astype(np.int64)
 
 
 def fill(grams: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
     """The stretch of one bucket, a byte for eight places."""
     out = np.zeros(bits, dtype=bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        for at in _spots(grams[levels >= level], level, bits):
-            out[at] = True
+        h, step = _halves(grams[levels >= level], level)
+        for i in range(PROBES):
+            out[_spot(h, step, i, bits)] = True
     return np.packbits(out, bitorder="little")
 
 
@@ -112,10 +121,9 @@ class Filter:
         left = np.arange(len(grams))
         base = (grams >> np.uint64(self.shift)).astype(np.int64) * size if self.shift < 64 else np.zeros(len(grams), np.int64)
         for level in range(1, most + 1):
-            h = mix(grams[left] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(level))
-            step = (h >> np.uint64(32)) | np.uint64(1)
+            h, step = _halves(grams[left], level)
             for i in range(PROBES):  # each probe looks only at n-grams that passed those before
-                at = ((h + np.uint64(i) * step) & np.uint64(size * 8 - 1)).astype(np.int64)
+                at = _spot(h, step, i, size * 8)
                 hit = (flat[base[left] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
                 left, h, step = left[hit], h[hit], step[hit]
             if not len(left):
@@ -154,7 +162,7 @@ def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_grams(train: DataFrame, buckets: int, least_pair: int) -> DataFrame:
-    """bucket, kind (1 words, 2 pairs), grams and counts (sorted blocks; of pairs only the counts' levels, a byte each), total, and levels (how many grams have each count level)."""
+    """bucket, kind (1 words, 2 pairs), grams and counts (sorted blocks; of pairs only the counts' levels, a byte each), total, most (the highest count), and levels (how many grams have each count level)."""
 
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -175,7 +183,7 @@ def count_grams(train: DataFrame, buckets: int, least_pair: int) -> DataFrame:
         if held:
             yield from flush()
 
-    out = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()), ("levels", pa.list_(pa.int64()))])
+    out = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("most", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()), ("levels", pa.list_(pa.int64()))])
 
     def merge(batches):
         def done(rows):
@@ -184,7 +192,7 @@ def count_grams(train: DataFrame, buckets: int, least_pair: int) -> DataFrame:
                 grams, counts = grams[counts >= least_pair], counts[counts >= least_pair]
             levels = np.bincount(level_of(counts), minlength=64)
             held = level_of(counts).astype(np.uint8) if rows[0]["kind"] == 2 else counts
-            return pa.RecordBatch.from_pylist([{"bucket": rows[0]["bucket"], "kind": rows[0]["kind"], "n": len(grams), "total": int(counts.sum()), "grams": grams.tobytes(), "counts": held.tobytes(), "levels": levels.tolist()}], schema=out)
+            return pa.RecordBatch.from_pylist([{"bucket": rows[0]["bucket"], "kind": rows[0]["kind"], "n": len(grams), "total": int(counts.sum()), "most": int(counts.max(initial=0)), "grams": grams.tobytes(), "counts": held.tobytes(), "levels": levels.tolist()}], schema=out)
 
         held = []
         for batch in batches:
@@ -197,7 +205,7 @@ def count_grams(train: DataFrame, buckets: int, least_pair: int) -> DataFrame:
             yield done(held)
 
     dealt = train.mapInArrow(releasing(count), _BLOCK_DDL).repartition("bucket", "kind").sortWithinPartitions("bucket", "kind")
-    return dealt.mapInArrow(releasing(merge), "bucket int, kind int, n long, total long, grams binary, counts binary, levels array<long>")
+    return dealt.mapInArrow(releasing(merge), "bucket int, kind int, n long, total long, most long, grams binary, counts binary, levels array<long>")
 
 
 @dataclass
@@ -253,19 +261,21 @@ def build_filter(counted: DataFrame, buckets: int, bits: int) -> Filter:
 def train_model(train: DataFrame, least_pair: int = LEAST_PAIR, max_bits: int = MAX_BITS, dictionary: int = DICTIONARY) -> tuple[Model, DataFrame]:
     """The model, and the exact counts (as count_grams gives them)."""
     spark = train.sparkSession
-    buckets = 1 << max(6, math.ceil(math.log2(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 << max(6, math.ceil(math.log2(max(1, size / BUCKET))))
     counted = cut(count_grams(train, buckets, least_pair))
     words = counted.filter("kind = 1")
     n, total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     known, counts = None, None
     if n <= dictionary:
-        known, counts = np.zeros(n, np.uint64), np.zeros(n, np.uint32)
+        most = words.agg(F.max("most")).first()[0] or 0
+        known, counts = np.zeros(n, np.uint64), np.zeros(n, np.uint32 if most < 1 << 32 else np.uint64)
         at = 0
         for r in words.select("bucket", "grams", "counts").orderBy("bucket").toLocalIterator():  # buckets ascend, so hashes do
             block = np.frombuffer(r["grams"], np.uint64)
-            known[at : at + len(block)], counts[at : at + len(block)] = block, np.minimum(np.frombuffer(r["counts"], np.int64), (1 << 32) - 1)
+            known[at : at + len(block)], counts[at : at + len(block)] = block, np.frombuffer(r["counts"], np.int64)
             at += len(block)
-    bits = 1 << max(10, math.ceil(math.log2(max(1, held_levels(counted) * BITS_EACH / buckets))))
+    bits = 8 * max(128, math.ceil(held_levels(counted) * BITS_EACH / 8 / buckets))
     joined = bits * buckets > max_bits
     kept = Filter(np.zeros((buckets, 0), np.uint8), 65 - buckets.bit_length()) if joined else build_filter(counted, buckets, bits)
     return Model(kept, int(total), int(n), known, counts, bits, joined), counted

@@ -48,12 +48,57 @@ def test_filter_never_lowers_a_level_and_rarely_raises_one():
     assert np.allclose(lm.count_of(np.array([0, 1, 2, 3])), [0, 1, 2.5, 5.5])
 
 
-def test_filter_stays_within_its_bound(spark, prose):
+def test_filter_is_sized_by_what_it_holds(spark, prose):
     train = table(spark, prose).select("text")
-    model, _ = lm.train_model(train, max_bits=1 << 16)
-    assert model.filter.stretches.size * 8 <= 1 << 16
-    whole, _ = lm.train_model(train)
-    assert whole.filter.stretches.size > model.filter.stretches.size
+    model, counted = lm.train_model(train)
+    assert model.filter.stretches.size * 8 >= lm.held_levels(counted) * lm.BITS_EACH and not model.joined
+    parted, _ = lm.train_model(train, max_bits=1 << 10)
+    assert parted.joined and parted.filter.stretches.size == 0 and parted.bits == model.bits
+
+
+def smoothed_scores(rows, model):
+    """The documented formula over whole counts, each quantised to the middle of its level."""
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    tok = lambda t: [None, *(t or "").encode().lower().split(), None]
+    lower = [(r[0], tok(r[1])) for r in rows]
+    words = Counter(w for d, t in lower if not held(d) for w in t[1:])
+    pairs = Counter(p for d, t in lower if not held(d) for p in zip(t, t[1:]))
+    middle = lambda c: max(1.0, (2 ** (c.bit_length() - 1) + 2 ** c.bit_length() - 1) / 2) if c else 0.0
+    room = sum(words.values()) + len(words) + 1
+    out = {}
+    for d, t in lower:
+        total = 0.0
+        for a, b in zip(t, t[1:]):
+            wa, wb = middle(words[a]), middle(words[b])
+            seen = min(middle(pairs[a, b]), wa, wb)
+            total += math.log10(min(1.0, (seen + lm.MASS * (wb + 1) / room) / (wa + lm.MASS)))
+        out.setdefault(d, []).append(total)
+    return out
+
+
+def test_scores_against_the_formula(spark, prose, monkeypatch):
+    monkeypatch.setattr(lm, "BITS_EACH", 64)  # so that hardly a level is raised
+    want = smoothed_scores(prose, lm)
+    got = lm.score_documents(table(spark, prose)).collect()
+    assert len(got) == len(prose)
+    for r in got:
+        assert abs(r.score - want[r.doc_id][0]) < 0.02 * abs(want[r.doc_id][0]) + 1e-6
+    assert sum(abs(r.score - want[r.doc_id][0]) < 1e-6 for r in got) > 0.8 * len(got)
+
+
+def test_counts_beyond_32_bits():
+    words = np.array([3, 9], dtype=np.uint64)
+    model = lm.Model(lm.Filter(np.zeros((1, 0), np.uint8), 64), 0, 2, words, np.array([7, 1 << 33], dtype=np.uint64), 0, True)
+    assert lm._lookup(model, np.array([3, 4, 9], dtype=np.uint64)).tolist() == [7, 0, 1 << 33]
+
+
+def test_long_words_of_one_pattern_are_two(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(d, other if zlib.crc32(str(d).encode()) % 7 == 2 else word) for d in range(30)]
+    assert {r.n_known for r in lm.score_documents(table(spark, rows)).collect()} == {1, 2}
 
 
 def test_pairs_make_seen_text_likelier(spark):
