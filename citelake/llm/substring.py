@@ -117,7 +117,7 @@ def repeat_spans(docs: DataFrame, k: int) -> DataFrame:
             raw, offsets = text_bytes(batch.column(1))
             for i, asked in enumerate(batch.column(2)):
                 a, b = int(offsets[i]), int(offsets[i + 1])
-                words, _ = word_items(raw[a:b], np.array([0, b - a]))
+                words = word_items(raw[a:b], np.array([0, b - a]))[0]
                 out = []
                 for x in asked.as_py():
                     edges = edge_hashes(words, x["start"], x["n"], k)

@@ -3,11 +3,13 @@
 Stretches that may hold repeated strings are brought together by key (see runs). Each shard of them gets a
 Burrows-Wheeler transform, and breadth-first backward extension of intervals settles the common prefixes of
 neighbouring suffixes by increasing value; it stops at the minimum length, so neighbours left unsettled share at
-least that much. The suffixes need to be in order up to that length only.
+least that much. The suffixes need to be in order up to that length only. Equal stretches are read at two of their
+places, compared byte by byte, and are one text of the transform with the number of places as its weight: an interval of
+weight two or more holds a repeated string, and nothing else decides.
 
 Defined cases: null and empty texts lose nothing; a text shorter than the length loses nothing; repeated rows are
-texts of their own, so they lose all that the length allows; ids may be null; an empty table gives no rows; other
-columns are ignored.
+texts of their own, so they lose all that the length allows; ids may be null; very long texts are worked on in
+overlapping pieces, so that each window is in one of them; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,55 +57,109 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
         reach *= 2
 
 
-def long_neighbours(codes: np.ndarray, order: np.ndarray, depth: int, chunk: int = 1 << 15) -> np.ndarray:
-    """For each place in order, whether the suffix there shares `depth` symbols or more with the next place's.
+class _Transform:
+    """A Burrows-Wheeler transform, with the steps from its places to those of the suffixes one symbol longer.
 
-    codes: 0 separates texts and ends the whole.
+    Place b is a boundary once the common prefix of the suffixes at b - 1 and b is known.
     """
-    n, sigma = len(codes), int(codes.max()) + 1
-    last = codes[order - 1]
-    before = np.zeros((n + 1, sigma), dtype=np.int32)
-    before[np.arange(1, n + 1), last] = 1
-    np.cumsum(before, axis=0, out=before)
-    count = np.bincount(codes, minlength=sigma)
-    first = (np.cumsum(count) - count).astype(np.int32)
-    settled = np.zeros(n + 1, dtype=bool)
-    settled[[0, n]] = True
-    low, high = first[count > 0], (first + count)[count > 0]
-    new = ~settled[high]
-    low, high = low[new], high[new]
-    settled[high] = True
-    for _ in range(1, depth):
-        if not len(high):
-            break
+
+    def __init__(self, codes: np.ndarray, order: np.ndarray):
+        n = self.n = len(codes)
+        self.last = codes[order - 1]
+        self.front = np.argsort(self.last, kind="stable")
+        self.longer = np.empty(n, dtype=np.int64)
+        self.longer[self.front] = np.arange(n)
+        self.symbol = self.last[self.front]
+        begins = np.ones(n + 1, dtype=bool)  # of the blocks of suffixes with one first symbol
+        begins[1:n] = self.symbol[1:] != self.symbol[:-1]
+        self.boundary = begins
+        self.before = np.where(begins[self.longer], -1, self.front[self.longer - 1])  # the place before with the same symbol
+        self.after = np.where(begins[self.longer + 1], n, self.front[(self.longer + 1) % n])
+
+    def settle_all(self, most: int, few: int) -> tuple[int, np.ndarray]:
+        """Settles boundaries by increasing common prefix, all at once, up to `most` or until fewer than `few` are new.
+
+        The last of a symbol before a boundary and the first after it are neighbours one symbol longer.
+        """
+        open_ = np.flatnonzero(~self.boundary[:-1] & (self.symbol != 0))
+        level, new = 0, np.flatnonzero(self.boundary[:-1])[1:]
+        while level < most and len(new) >= few:
+            met = np.cumsum(self.boundary[:-1])
+            hit = met[self.front[open_]] > met[self.front[open_ - 1]]
+            new, open_ = open_[hit], open_[~hit]
+            self.boundary[new] = True
+            level += 1
+        return level, new
+
+    def extended(self, low: np.ndarray, high: np.ndarray, chunk: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals one symbol longer than those given, but for the separator's."""
+        sigma = int(self.symbol[-1])
+        wide = high - low > 4 * sigma
         lows, highs = [], []
-        for at in range(0, len(high), chunk):
-            a = first[1:] + before[low[at : at + chunk], 1:]
-            b = first[1:] + before[high[at : at + chunk], 1:]
-            m = (b > a) & ~settled[b]
-            lows.append(a[m])
-            highs.append(b[m])
-        low, high = np.concatenate(lows), np.concatenate(highs)
-        settled[high] = True
-    return ~settled[1:]
-
-
-def repeated_windows(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each text, which of its windows of `length` bytes start at another place of any text as well."""
+        if wide.any():  # asks for every symbol
+            at = np.arange(1, sigma + 1) * self.n
+            places = self.symbol.astype(np.int64) * self.n + self.front
+            a, b = (np.searchsorted(places, (x[wide][:, None] + at).ravel()) for x in (low, high))
+            lows.append(a[b > a])
+            highs.append(b[b > a])
+        low, high = low[~wide], high[~wide]
+        total = np.concatenate([[0], np.cumsum(high - low)])
+        start = 0
+        while start < len(low):  # looks at every place
+            end = max(start + 1, int(np.searchsorted(total, total[start] + chunk, side="right")) - 1)
+            many = high[start:end] - low[start:end]
+            place = np.repeat(low[start:end] - total[start:end], many) + np.arange(total[start], total[end])
+            here = self.last[place] != 0
+            opens = place[here & (self.before[place] < np.repeat(low[start:end], many))]
+            ends = place[here & (self.after[place] >= np.repeat(high[start:end], many))]
+            lows.append(np.sort(self.longer[opens]))
+            highs.append(np.sort(self.longer[ends]) + 1)
+            start = end
+        return (np.concatenate(lows), np.concatenate(highs)) if lows else (low, high)
+
+
+def long_neighbours(codes: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """For each place in order, whether the suffix there shares `depth` symbols or more with the next place's.
+
+    codes: 0 separates texts and ends the whole. While common prefixes are short, most boundaries are new and all are looked
+    at; then only the intervals that end at a new one are extended, breadth first.
+    """
+    t = _Transform(codes, order)
+    level, high = t.settle_all(depth - 1, max(1, t.n >> 6))
+    if level < depth - 1 and len(high):
+        edge = np.maximum.accumulate(np.where(t.boundary, np.arange(t.n + 1), 0))
+        low = edge[high - 1]
+        for _ in range(level, depth - 1):
+            if not len(high):
+                break
+            low, high = t.extended(low, high)
+            new = ~t.boundary[high]
+            low, high = low[new], high[new]
+            t.boundary[high] = True
+    return ~t.boundary[1:]
+
+
+def repeated_windows(texts: list[bytes], length: int, weights: list[int] | None = None) -> list[np.ndarray]:
+    """For each text, which of its windows of `length` bytes start at another place of any text as well.
+
+    weights: in how many places each text stands; windows count as often.
+    """
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
     symbols = np.unique(raw)
     code = np.zeros(256, dtype=np.uint8)
     code[symbols] = np.arange(1, len(symbols) + 1)
+    sizes = np.array([len(t) + 1 for t in texts])
     codes = np.zeros(len(raw) + len(texts), dtype=np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts])
+    ends = np.cumsum(sizes)
     inner = np.ones(len(codes), dtype=bool)
     inner[ends - 1] = False
     codes[inner] = code[raw]
     order = suffix_order(codes, length + 1)
     next_ = long_neighbours(codes, order, length)
-    twice = np.zeros(len(codes), dtype=bool)
-    twice[order] = next_
-    twice[order[1:]] |= next_[:-1]
+    interval = np.concatenate([[0], np.cumsum(~next_[:-1])])
+    weight = np.repeat(np.ones(len(texts), np.int64) if weights is None else np.array(weights, dtype=np.int64), sizes)
+    twice = np.empty(len(codes), dtype=bool)
+    twice[order] = (np.bincount(interval, weight[order]) >= 2)[interval]
     return [twice[e - 1 - len(t) : e - length] if len(t) >= length else np.zeros(0, bool) for e, t in zip(ends, texts, strict=True)]
 
 
@@ -132,10 +188,10 @@ def divide(data: bytes, length: int, rounds: int, first_seed: int = 1) -> list[t
     return [(int(a), int(b - a), int(key[a])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _decide(texts: list[bytes], length: int, seed: int = 9) -> list[np.ndarray]:
-    """repeated_windows() of distinct texts; a large lot is divided by further minima, where equal pieces count once."""
+def _decide(texts: list[bytes], weights: list[int], length: int, seed: int = 9) -> list[np.ndarray]:
+    """repeated_windows() of distinct texts; a large lot is divided by further minima, where equal pieces count together."""
     if sum(map(len, texts)) <= 2 * SHARD or seed >= 17 or len(texts) < 2:
-        return repeated_windows(texts, length)
+        return repeated_windows(texts, length, weights)
     parts: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
     for i, text in enumerate(texts):
         for a, n, key in divide(text, length, 2, seed):
@@ -146,21 +202,26 @@ def _decide(texts: list[bytes], length: int, seed: int = 9) -> list[np.ndarray]:
     for k, group in enumerate(groups):
         held |= group  # equal pieces have equal keys, so groups share none
         if k == len(groups) - 1 or sum(map(len, held)) >= SHARD:
-            for (piece, places), f in zip(held.items(), _decide(list(held), length, seed + 2), strict=True):
+            many = [sum(weights[i] for i, _ in places) for places in held.values()]
+            for (piece, places), f in zip(held.items(), _decide(list(held), many, length, seed + 2), strict=True):
                 for i, a in places:
-                    flags[i][a : a + len(piece) - length + 1] = f | (len(places) > 1)
+                    flags[i][a : a + len(piece) - length + 1] = f
             held = {}
     return flags
 
 
 def decide_rows(rows: list[dict], length: int):
-    """(row, flags of its windows) for the rows of some keys; all rows with a window of theirs are among them."""
+    """(row, flags of its windows) for the rows of some keys; all rows with a window of theirs are among them.
+
+    Rows of the same bytes are one text of the transform; weight (else 1) says how many places a row stands for.
+    """
     places: dict[bytes, list[int]] = {}
     for i, r in enumerate(rows):
         places.setdefault(r["data"], []).append(i)
-    for own, f in zip(places.values(), _decide(list(places), length), strict=True):
+    weights = [sum(rows[i].get("weight", 1) for i in own) for own in places.values()]
+    for own, f in zip(places.values(), _decide(list(places), weights, length), strict=True):
         for i in own:
-            yield rows[i], f | (len(own) > 1)
+            yield rows[i], f
 
 
 SPANS = "array<struct<a:int,b:int>>"
@@ -170,10 +231,15 @@ def repeat_spans(docs: DataFrame, length: int) -> DataFrame:
     """id, th and spans (first and past-the-last window starts) of keyed documents' windows that occur elsewhere too."""
     found = cut(runs(docs, byte_items, length, GRAM))
     found = cut(shared_runs(found, F.col("n_rows") > 1))
-    distinct = found.groupBy("key", "dig", "n", "many").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "start")).alias("at"))
-    distinct = cut(distinct)
-    asked = with_parts(distinct.filter("many"), F.col("n") + length, HOT)
-    asked = asked.groupBy("at.id", "at.th").agg(F.collect_list(F.struct("at.start", "key", "dig", "n", "copies", "parts")).alias("asked"))
+    place = F.struct("id", "th", "start")
+    distinct = cut(found.groupBy("key", "dig", "n").agg(F.count("*").alias("copies"), F.min(place).alias("at"), F.max(place).alias("last")))
+    distinct = with_parts(distinct, F.col("n") + length, HOT)
+    run = ["key", "dig", "n", "parts"]
+    one = distinct.select("at.*", *run, F.greatest(F.col("copies") - 1, F.lit(1)).alias("weight"), F.lit(True).alias("tells"))
+    other = distinct.filter("copies > 1").select("last.*", *run, F.lit(1).cast("long").alias("weight"), F.lit(False).alias("tells"))
+    asked = one.unionByName(other).groupBy("id", "th").agg(F.collect_list(F.struct("start", *run, "weight", "tells")).alias("asked"))
+    dealt = pa.schema([("deal", pa.int64()), ("key", pa.int64()), ("dig", pa.int64()), ("n", pa.int32()), ("weight", pa.int64()), ("tells", pa.bool_()), ("off", pa.int32()), ("data", pa.binary())])
+    verdicts = pa.schema([("key", pa.int64()), ("dig", pa.int64()), ("n", pa.int32()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
     def fetch(batches):
         for batch in batches:
@@ -182,35 +248,31 @@ def repeat_spans(docs: DataFrame, length: int) -> DataFrame:
                 data = text.as_py().encode("utf-8")
                 for x in asked.as_py():
                     part = data[x["start"] : x["start"] + x["n"] + length - 1]
-                    own = {"key": x["key"], "dig": x["dig"], "n": x["n"], "copies": x["copies"]}
+                    own = {k: x[k] for k in ("key", "dig", "n", "weight", "tells")}
                     if x["parts"] == 1:
                         out.append({"deal": x["key"], "off": 0, "data": part, **own})
                     else:
                         for a, n, k in divide(part, length, 1 + (x["parts"] - 1).bit_length()):
                             out.append({"deal": (x["key"] ^ k) % (1 << 62), "off": a, "data": part[a : a + n + length - 1], **own})
-                    if len(out) >= 20_000:
+                    if len(out) >= 5_000:
                         yield pa.RecordBatch.from_pylist(out, schema=dealt)
                         out = []
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=dealt)
 
-    dealt = pa.schema([("deal", pa.int64()), ("key", pa.int64()), ("dig", pa.int64()), ("n", pa.int32()), ("copies", pa.int64()), ("off", pa.int32()), ("data", pa.binary())])
-    verdicts = pa.schema([("key", pa.int64()), ("dig", pa.int64()), ("n", pa.int32()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
-
     def settle(batches):
         for rows in by_key(batches, lambda r: len(r["data"]), SHARD):
             out = []
             for r, flags in decide_rows(rows, length):
-                if r["copies"] == 1 and flags.any():
+                if r["tells"] and flags.any():
                     out.append({"key": r["key"], "dig": r["dig"], "n": r["n"], "spans": [{"a": s["a"] + r["off"], "b": s["b"] + r["off"]} for s in spans_from(flags)]})
             yield pa.RecordBatch.from_pylist(out, schema=verdicts)
 
-    stretches = with_documents(docs, asked, "inner").select("text", "asked").mapInArrow(releasing(fetch), "deal long, key long, dig long, n int, copies long, off int, data binary")
+    stretches = with_documents(docs, asked, "inner").select("text", "asked").mapInArrow(releasing(fetch), "deal long, key long, dig long, n int, weight long, tells boolean, off int, data binary")
     # a number of its own: sorting and extending take far longer than the bytes, by which partitions are merged, tell
     tasks = TASKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    single = stretches.repartition(tasks, "deal").sortWithinPartitions("deal").mapInArrow(releasing(settle), f"key long, dig long, n int, spans {SPANS}")
-    whole = distinct.filter("copies > 1").select("key", "dig", "n", F.expr(f"cast(array(struct(0, n)) as {SPANS})").alias("spans"))
-    gone = found.join(cut(whole.unionByName(single)), ["key", "dig", "n"]).select("id", "th", "start", F.explode("spans").alias("s"))
+    settled = cut(stretches.repartition(tasks, "deal").sortWithinPartitions("deal").mapInArrow(releasing(settle), f"key long, dig long, n int, spans {SPANS}"))
+    gone = found.join(settled, ["key", "dig", "n"]).select("id", "th", "start", F.explode("spans").alias("s"))
     return gone.groupBy("id", "th").agg(F.collect_list(F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))).alias("spans"))
 
 

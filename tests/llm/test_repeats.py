@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -102,6 +103,25 @@ def test_large_lots_are_divided(monkeypatch):
             assert flags.tolist() == [seen[row["data"][i : i + 400]] > 1 for i in range(len(row["data"]) - 399)]
 
 
+def test_the_transform_alone_decides(monkeypatch):
+    r = random.Random(2)
+    one, two = (bytes(r.choices(b"abcd", k=500)) for _ in range(2))
+    flags = lambda rows: [f.any() for _, f in suffix.decide_rows(rows, 400)]
+    assert flags([{"data": one, "weight": 2}, {"data": two, "weight": 1}]) == [True, False]
+    assert flags([{"data": one}, {"data": one}, {"data": two}]) == [True, True, False]
+    monkeypatch.setattr(suffix, "repeated_windows", lambda texts, length, weights: [np.zeros(len(t) - length + 1, bool) for t in texts])
+    assert flags([{"data": one, "weight": 5}, {"data": one}]) == [False, False]
+
+
+@pytest.mark.parametrize("text", [b"a" * 30_000, b"ab" * 12_000 + b"c", bytes(random.Random(1).choices(b"ab", k=20_000))])
+def test_uniform_texts_take_no_square_time(text):
+    began = time.perf_counter()
+    (flags,) = suffix.repeated_windows([text], 400)
+    assert time.perf_counter() - began < 20
+    seen = Counter(text[i : i + 400] for i in range(len(text) - 399))
+    assert flags.tolist() == [seen[text[i : i + 400]] > 1 for i in range(len(text) - 399)]
+
+
 def test_runs_are_glued_where_paths_do_not_branch(spark):
     rows = [(1, "h", 0, 3, 10, "A"), (1, "h", 3, 2, 11, "B"), (1, "h", 5, 4, 12, "C"), (2, "i", 7, 3, 10, "A"), (2, "i", 10, 2, 11, "B"), (2, "i", 12, 4, 13, "D"), (3, "j", 0, 3, 10, "A"), (3, "j", 3, 2, 11, "B"), (3, "j", 9, 4, 12, "C")]
     df = spark.createDataFrame([(i, hash(t) % 1000, s, n, k, ord(d), True) for i, t, s, n, k, d in rows], "id long, th long, start int, n int, key long, dig long, many boolean")
