@@ -3,23 +3,26 @@
 Edges are k-mers of words. They are never laid out one by one where paths do not branch: a run of neighbouring
 edges under one key is one compacted edge, and equal runs of all documents meet in a Spark aggregation by key and
 digest. A run that is always followed by one other run, which it alone precedes, is glued to it by a join: glued runs are
-the repeated nonbranching paths, and an occurrence of a path is one stretch of a document. Only where a key has
-different runs can edges repeat without their runs; there each distinct run is read again at the source coordinates of
-one occurrence, its edges are laid out, and the first document of every edge is found among them.
+the repeated nonbranching paths. A path is decided as a whole: its words are read again at every place where it
+stands, a 128-bit digest of them proves that the places are equal, and all but those in the document of smallest id go.
+Only where a key has different runs can edges repeat without their runs; there each distinct run is read again at the
+source coordinates of one occurrence, its edges are laid out, and the first document of every edge is found among them.
 
 Defined cases: null and empty texts and those with fewer than k words lose nothing; a null doc_id counts as larger
-than all others, and null ids take nothing from each other; repeated rows of one id take nothing from each other; an
-empty table gives no rows; other columns are ignored.
+than all others, and null ids take nothing from each other; repeated rows of one id take nothing from each other; very
+long texts are worked on in overlapping pieces, so that each k-mer is in one of them; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prefix_sums, releasing, stretch_hash, text_bytes
+from .common import SPACE, cut, prefix_sums, releasing, stretch_hash, text_bytes, words_in
 from .runs import PIECE, by_key, covered, keyed, runs, shared_runs, spans_from, with_documents, with_parts, word_items
 from .suffix import SPANS
 
@@ -86,19 +89,50 @@ def compacted(found: DataFrame) -> DataFrame:
     return distinct.select("key", "dig", "n", "many", "at").join(glued, ["key", "dig", "n"], "left").withColumn("glued", F.coalesce("glued", F.lit(False)))
 
 
-def path_spans(marked: DataFrame) -> DataFrame:
-    """id, th and spans from occurrences (id, th, start, n, whole, glued, spans): each path that goes as a whole is one span.
+def paths(found: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Occurrences of nonbranching paths: id, th, start, n (first k-mer and number of them) and head, the first run.
 
-    whole: all k-mers go; spans: otherwise, those that go, counted from the run's start.
+    found: occurrences of runs; distinct: the compacted runs. A path is named by its head and n, as runs that are glued
+    always stand together.
     """
-    goes_on = F.lag(F.col("glued") & F.col("whole")).over(_in_text()) & (F.lag(F.col("start") + F.col("n")).over(_in_text()) == F.col("start"))
-    numbered = marked.withColumn("path", F.sum(F.when(goes_on, 0).otherwise(1)).over(_in_text().rowsBetween(Window.unboundedPreceding, 0)))
-    some = F.transform("spans", lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"]).alias("b")))
-    paths = numbered.groupBy("id", "th", "path").agg(
-        F.min(F.when(F.col("whole"), F.col("start"))).alias("a"), F.max(F.when(F.col("whole"), F.col("start") + F.col("n"))).alias("b"), F.flatten(F.collect_list(F.when(~F.col("whole"), some))).alias("more")
-    )
-    spans = F.concat(F.when(F.col("a").isNull(), F.array().cast(SPANS)).otherwise(F.array(F.struct("a", "b"))), F.col("more"))
-    return paths.groupBy("id", "th").agg(F.flatten(F.collect_list(spans)).alias("spans")).filter(F.size("spans") > 0)
+    here = found.select("id", "th", "start", "n", "key", "dig").join(distinct.select("key", "dig", "n", "glued"), ["key", "dig", "n"])
+    goes_on = F.lag("glued").over(_in_text()) & (F.lag(F.col("start") + F.col("n")).over(_in_text()) == F.col("start"))
+    numbered = here.withColumn("path", F.sum(F.when(goes_on, 0).otherwise(1)).over(_in_text().rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("id", "th", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min_by(_run(), "start").alias("head")).drop("path")
+
+
+def words_between(raw: np.ndarray):
+    """A function of the first and the past-the-last word that gives those words joined by one space."""
+    starts, ends, _ = words_in(raw, np.array([0, len(raw)]))
+    keep = ~SPACE[raw]
+    keep[ends[ends < len(raw)]] = True
+    at = np.concatenate([[0], np.cumsum(keep)])
+    plain = np.where(SPACE[raw], np.uint8(0x20), raw)[keep].tobytes()
+    return lambda i, j: plain[at[starts[i]] : at[ends[j - 1]]]
+
+
+def proven(docs: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """places (as paths() gives them) with proof, a digest of the words that stand at each."""
+    asked = places.groupBy("id", "th").agg(F.collect_set(F.struct("start", "n", "head")).alias("asked"))
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("head", pa.int64()), ("proof", pa.binary())])
+
+    def read(batches):
+        for batch in batches:
+            ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            raw, offsets = text_bytes(batch.column(2))
+            for i, asked in enumerate(batch.column(3)):
+                words = words_between(raw[int(offsets[i]) : int(offsets[i + 1])])
+                out = [{"id": int(ids[i]), "th": int(ths[i]), **x, "proof": xxhash.xxh3_128_digest(words(x["start"], x["start"] + x["n"] + k - 1))} for x in asked.as_py()]
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return with_documents(docs, asked, "inner").select("id", "th", "text", "asked").mapInArrow(releasing(read), "id long, th long, start int, n int, head long, proof binary")
+
+
+def later_places(places: DataFrame) -> DataFrame:
+    """id, th, a, b (first and past-the-last k-mer) of the proven places whose path stands in a document of smaller id too."""
+    path = ["head", "n", "proof"]
+    first = places.groupBy(*path).agg(F.min("id").alias("first"))
+    return places.join(first, path).filter(F.col("id") > F.col("first")).select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
 
 
 def repeat_spans(docs: DataFrame, k: int) -> DataFrame:
@@ -143,11 +177,10 @@ def repeat_spans(docs: DataFrame, k: int) -> DataFrame:
 
     edges = with_documents(docs, asked, "inner").select("id", "text", "asked").mapInArrow(releasing(lay_out), "deal long, key long, dig long, n int, first long, at binary, edges binary")
     partly = edges.repartition("deal").sortWithinPartitions("deal").mapInArrow(releasing(settle), f"key long, dig long, n int, spans {SPANS}")
-    partly = partly.groupBy("key", "dig", "n").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    paths = cut(distinct.select("key", "dig", "n", "glued", F.col("at.id").alias("first")).join(partly, ["key", "dig", "n"], "left"))
-    marked = found.select("id", "th", "start", "n", "key", "dig").join(paths, ["key", "dig", "n"])
-    whole = F.col("id") > F.col("first")
-    return path_spans(marked.select("id", "th", "start", "n", "glued", whole.alias("whole"), F.when(~whole, F.col("spans")).alias("spans")).filter("whole or spans is not null"))
+    partly = cut(partly.select("key", "dig", "n", F.explode("spans").alias("s")).join(distinct.select("key", "dig", "n", F.col("at.id").alias("id")), ["key", "dig", "n"]))
+    whole = later_places(cut(proven(docs, paths(found, distinct), k)))
+    some = found.join(partly, ["key", "dig", "n", "id"]).select("id", "th", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
+    return whole.unionByName(some).groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def remove_repeated_words(docs: DataFrame, k: int = 50) -> DataFrame:

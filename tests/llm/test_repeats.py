@@ -127,9 +127,35 @@ def test_runs_are_glued_where_paths_do_not_branch(spark):
     df = spark.createDataFrame([(i, hash(t) % 1000, s, n, k, ord(d), True) for i, t, s, n, k, d in rows], "id long, th long, start int, n int, key long, dig long, many boolean")
     got = {chr(r["dig"]): r["glued"] for r in substring.compacted(substring.with_neighbours(df)).collect()}
     assert got == {"A": True, "B": False, "C": False, "D": False}
-    marked = df.select("id", "th", "start", "n", (F.col("dig") == ord("A")).alias("glued"), (F.col("id") > 1).alias("whole"), F.expr("cast(null as array<struct<a:int,b:int>>)").alias("spans"))
-    spans = {r["id"]: sorted((s.a, s.b) for s in r["spans"]) for r in substring.path_spans(marked).collect()}
-    assert spans == {2: [(7, 12), (12, 16)], 3: [(0, 5), (9, 13)]}
+    found = substring.paths(df, substring.compacted(substring.with_neighbours(df)).withColumn("at", F.lit(None)))
+    places = {(r["id"], r["start"], r["n"]) for r in found.collect()}
+    assert places == {(1, 0, 5), (1, 5, 4), (2, 7, 5), (2, 12, 4), (3, 0, 5), (3, 9, 4)}  # A and B are one path
+    assert len({r["head"] for r in found.collect() if r["n"] == 5}) == 1
+
+
+def test_paths_are_taken_for_equal_by_proof_only(spark):
+    rows = [(3, 0, 5, 4, 77, b"x"), (2, 0, 9, 4, 77, b"x"), (5, 0, 1, 4, 77, b"y"), (9, 0, 1, 4, 77, b"y"), (9, 0, 8, 6, 77, b"y")]
+    places = spark.createDataFrame(rows, "id long, th long, start int, n int, head long, proof binary")
+    assert sorted(tuple(r) for r in substring.later_places(places).collect()) == [(3, 0, 5, 9), (9, 0, 1, 5)]
+
+
+def test_proofs_are_of_the_words_at_their_places(spark):
+    texts = [(1, "a  b\tc d"), (2, "x a\nb c"), (3, "a b d"), (4, "ab c")]
+    docs = runs.keyed(table(spark, texts))
+    places = docs.select("id", "th", F.when(F.col("id") == 2, 1).otherwise(0).alias("start"), F.when(F.col("id") == 4, 1).otherwise(2).alias("n"), F.lit(5).cast("long").alias("head"))
+    proof = {r["id"]: bytes(r["proof"]) for r in substring.proven(docs, places, 2).collect()}
+    assert proof[1] == proof[2] and len({proof[1], proof[3], proof[4]}) == 3
+
+
+def test_long_patterned_words_are_different_words(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join(["w", word] * 30), "s"), (2, " ".join(["w", other] * 30), "s"), (3, " ".join(["w", word] * 30), "s")]
+    assert words_result(table(spark, rows), 50) == without_repeated_words(rows, 50)
+    rows = [(1, "x" + word + other, "s"), (2, "x" + other + other, "s"), (3, other + word, "s")]
+    assert bytes_result(table(spark, rows), 400) == without_repeated_bytes(rows, 400)
 
 
 def test_interval_expansion_against_brute_force():
