@@ -36,25 +36,43 @@ HOT = 1 << 19
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their suffixes' first `depth` symbols at least, by prefix doubling."""
+    """Positions in the order of their suffixes' first `depth` symbols at least, by prefix doubling.
+
+    Each round sorts only the positions that still tie with others; equal ones may come in any order.
+    """
     n = len(codes)
     padded = np.concatenate([codes, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, dtype=np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | padded[j : j + n]
-    reach = 8
-    while True:
-        order = np.argsort(key)  # equal keys may come in any order
-        fresh = np.zeros(n, dtype=np.int64)
-        fresh[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(fresh)
-        if reach >= depth or rank[order[-1]] == n - 1:
-            return order
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - reach] = rank[reach:] + 1 if reach < n else 0
-        key = rank * (n + 2) + after
+    order = np.argsort(key)
+    key = key[order]
+    fresh = np.ones(n + 1, dtype=bool)
+    fresh[1:n] = key[1:] != key[:-1]
+    rank = np.empty(n + 1, dtype=np.int64)
+    rank[n] = -1
+    place, reach = np.arange(n), 8
+    rank[order] = np.maximum.accumulate(np.where(fresh[:n], place, 0))
+    while reach < depth:
+        tied = np.flatnonzero(~(fresh[:-1] & fresh[1:]))
+        if not len(tied):
+            break
+        if 2 * len(tied) > n:  # as good as all: keys are made in the order of the text
+            key = rank[:n] * (n + 2)
+            key[: n - reach] += rank[reach:n] + 1
+            order = np.argsort(key)
+            key = key[order]
+            fresh[1:n] = key[1:] != key[:-1]
+            rank[order] = np.maximum.accumulate(place * fresh[:n])
+        else:
+            own = order[tied]
+            key = rank[own] * (n + 2) + rank[np.minimum(own + reach, n)] + 1
+            by = np.argsort(key)
+            order[tied], key = own[by], key[by]
+            fresh[tied[1:]] |= key[1:] != key[:-1]
+            rank[order[tied]] = np.maximum.accumulate(tied * fresh[tied])
         reach *= 2
+    return order
 
 
 class _Transform:
@@ -75,6 +93,7 @@ class _Transform:
         self.boundary = begins
         self.before = np.where(begins[self.longer], -1, self.front[self.longer - 1])  # the place before with the same symbol
         self.after = np.where(begins[self.longer + 1], n, self.front[(self.longer + 1) % n])
+        self.before[self.last == 0], self.after[self.last == 0] = n, -1  # the separator extends nothing
 
     def settle_all(self, most: int, few: int) -> tuple[int, np.ndarray]:
         """Settles boundaries by increasing common prefix, all at once, up to `most` or until fewer than `few` are new.
@@ -82,8 +101,8 @@ class _Transform:
         The last of a symbol before a boundary and the first after it are neighbours one symbol longer.
         """
         open_ = np.flatnonzero(~self.boundary[:-1] & (self.symbol != 0))
-        level, new = 0, np.flatnonzero(self.boundary[:-1])[1:]
-        while level < most and len(new) >= few:
+        level, new = 0, np.flatnonzero(self.boundary[1:-1]) + 1
+        while level < most and len(new) and (level < 4 or len(new) >= few):
             met = np.cumsum(self.boundary[:-1])
             hit = met[self.front[open_]] > met[self.front[open_ - 1]]
             new, open_ = open_[hit], open_[~hit]
@@ -102,18 +121,16 @@ class _Transform:
             a, b = (np.searchsorted(places, (x[wide][:, None] + at).ravel()) for x in (low, high))
             lows.append(a[b > a])
             highs.append(b[b > a])
-        low, high = low[~wide], high[~wide]
+            low, high = low[~wide], high[~wide]
         total = np.concatenate([[0], np.cumsum(high - low)])
         start = 0
         while start < len(low):  # looks at every place
             end = max(start + 1, int(np.searchsorted(total, total[start] + chunk, side="right")) - 1)
             many = high[start:end] - low[start:end]
-            place = np.repeat(low[start:end] - total[start:end], many) + np.arange(total[start], total[end])
-            here = self.last[place] != 0
-            opens = place[here & (self.before[place] < np.repeat(low[start:end], many))]
-            ends = place[here & (self.after[place] >= np.repeat(high[start:end], many))]
-            lows.append(np.sort(self.longer[opens]))
-            highs.append(np.sort(self.longer[ends]) + 1)
+            row = np.repeat(np.arange(start, end), many)
+            place = (low - total[:-1])[row] + np.arange(total[start], total[end])
+            lows.append(np.sort(self.longer[place[self.before[place] < low[row]]]))
+            highs.append(np.sort(self.longer[place[self.after[place] >= high[row]]]) + 1)
             start = end
         return (np.concatenate(lows), np.concatenate(highs)) if lows else (low, high)
 
@@ -125,7 +142,7 @@ def long_neighbours(codes: np.ndarray, order: np.ndarray, depth: int) -> np.ndar
     at; then only the intervals that end at a new one are extended, breadth first.
     """
     t = _Transform(codes, order)
-    level, high = t.settle_all(depth - 1, max(1, t.n >> 6))
+    level, high = t.settle_all(depth - 1, max(1, t.n >> 7))
     if level < depth - 1 and len(high):
         edge = np.maximum.accumulate(np.where(t.boundary, np.arange(t.n + 1), 0))
         low = edge[high - 1]
