@@ -131,7 +131,8 @@ def proven(docs: DataFrame, places: DataFrame, k: int) -> DataFrame:
 def later_places(places: DataFrame) -> DataFrame:
     """id, th, a, b (first and past-the-last k-mer) of the proven places whose path stands in a document of smaller id too."""
     path = ["head", "n", "proof"]
-    first = places.groupBy(*path).agg(F.min("id").alias("first"))
+    # both sides of the join stand in files, so a path that stands in very many places can be split in it
+    first = cut(places.groupBy(*path).agg(F.min("id").alias("first"), F.max("id").alias("_last")).filter("first < _last").drop("_last"))
     return places.join(first, path).filter(F.col("id") > F.col("first")).select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
 
 
