@@ -138,5 +138,9 @@ def in_scope(ref: Column, scope: Column) -> Column:
 
 def ancestors(ref: Column) -> Column:
     """The ref and every proper beginning that a separator follows: all scopes that cover it."""
-    at = F.filter(F.sequence(F.lit(2), F.greatest(F.length(ref), F.lit(2))), lambda i: F.substr(ref, i, F.lit(1)).isin(*M.BELOW))
-    return F.array_distinct(F.concat(F.array(ref), F.transform(at, lambda i: F.substr(ref, F.lit(1), i - 1))))
+    one = M.BELOW[0]
+    plain = F.translate(ref, "".join(M.BELOW), one * len(M.BELOW))
+    many = F.length(plain) - F.length(F.replace(plain, F.lit(one), F.lit("")))
+    # the k-th separator ends the k-th beginning, as long as what stands before it
+    heads = F.transform(F.sequence(F.lit(1), many), lambda k: F.left(ref, F.length(F.call_function("substring_index", plain, F.lit(one), k))))
+    return F.when(many > 0, F.array_distinct(F.concat(F.array(ref), F.filter(heads, lambda h: h != "")))).otherwise(F.array(ref))

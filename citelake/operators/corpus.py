@@ -21,14 +21,15 @@ def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def targets(**tables: DataFrame) -> DataFrame:
     """ref, level, text, content_hash over chunk, page, provision and unit tables (any of them), one row for each ref.
 
-    Each table has columns ref, text and content_hash; a ref in several tables keeps the first level of LEVELS.
+    Each table has columns ref, text and content_hash; a ref in several tables keeps the first level of LEVELS. Every
+    column is an aggregate of its own, so that texts are neither read nor shuffled for a plan that does not use them.
     """
     parts = [tables[name].select("ref", F.lit(name).alias("level"), F.lit(i).alias("_rank"), "text", "content_hash") for i, name in enumerate(LEVELS) if name in tables]
     both = parts[0]
     for part in parts[1:]:
         both = both.unionByName(part)
-    first = both.groupBy("ref").agg(F.min_by(F.struct("level", "text", "content_hash"), "_rank").alias("t"))
-    return first.select("ref", "t.level", "t.text", "t.content_hash")
+    order = F.struct("_rank", "content_hash")
+    return both.groupBy("ref").agg(*[F.min_by(c, order).alias(c) for c in ("level", "text", "content_hash")])
 
 
 def resolve(rows: DataFrame, found: DataFrame, column: str = "ref") -> DataFrame:
@@ -72,6 +73,21 @@ def ambiguous(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("certainty").eqNullSafe("ambiguous"))
 
 
+def own_links(edges: DataFrame) -> DataFrame:
+    """Edges that the authors linked themselves."""
+    return edges.filter(F.col("extraction") == "href")
+
+
+def misprinted(pages: DataFrame) -> DataFrame:
+    """Pages whose own heading names another page."""
+    return pages.filter(F.col("printed_page_ref").isNotNull())
+
+
+def unit_refs(provisions: DataFrame) -> DataFrame:
+    """ref and unit_refs: the refs of a provision's units, as the document lists them (column units: JSON texts)."""
+    return provisions.select("ref", F.transform(F.from_json("units", "array<struct<ref:string>>"), lambda u: u["ref"]).alias("unit_refs"))
+
+
 def ordered_pages(chunks: DataFrame) -> DataFrame:
     """page_ref and its chunk refs in ordinal order."""
     return chunks.groupBy("page_ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_ref"))), lambda x: x["chunk_ref"]).alias("chunk_refs"))
@@ -87,7 +103,8 @@ def digest_of(files: DataFrame, group: str | None = None) -> DataFrame:
     """The digest of files (path, sha256): each path, a zero byte, its hash and a newline, in path order, hashed.
 
     Paths are ordered by their components; rank (optional column) orders the listed roots before that. With a
-    group, one digest for each value of it.
+    group, one digest for each value of it. A digest is over all its lines in order, so they meet in one row (some
+    hundred bytes a file): a group may hold some million files, no more.
     """
     rank = F.col("rank") if "rank" in files.columns else F.lit(0)
     line = F.concat(F.col("path"), F.lit("\x00"), F.col("sha256"), F.lit("\n"))

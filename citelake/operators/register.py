@@ -18,11 +18,35 @@ def number_of(identifier: Column) -> Column:
     return F.regexp_extract(identifier, "-([0-9]+)$", 1).try_cast("bigint")
 
 
+#: Rows looked at to cut the order into ranges.
+SAMPLE = 10_000
+
+
+def numbered(rows: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """rows with _n, their place in order from 1.
+
+    The order is cut into ranges at some values of a sample; rows are numbered within each range, and a range starts
+    after the rows of all ranges before it, so no task holds all rows. The sample is by hash: a rerun cuts alike.
+    """
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = sorted(rows.select(*order).dropna().orderBy(F.xxhash64(*order)).limit(SAMPLE).distinct().collect())
+    cuts = [seen[len(seen) * i // ranges] for i in range(1, ranges)] if len(seen) >= ranges else seen[1:]
+    kinds = dict(rows.dtypes)
+    points = [F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in order]) for r in dict.fromkeys(cuts)]
+    mine = F.struct(*[F.col(c) for c in order])
+    ranged = rows.withColumn("_range", F.size(F.filter(F.array(*points), lambda p: p <= mine)) if points else F.lit(0))
+    before, total = {}, 0
+    for r in sorted(ranged.groupBy("_range").count().collect()):
+        before[r["_range"]], total = total, total + r["count"]
+    offset = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])[F.col("_range").cast("long")] if before else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_n", place + offset).drop("_range")
+
+
 def allocate(existing: DataFrame, wanted: DataFrame, order: list[str], prefix: str, width: int = 4) -> DataFrame:
     """wanted with an id each, in order, after the highest id (column id) of existing."""
     highest = existing.agg(F.coalesce(F.max(number_of(F.col("id"))), F.lit(0)).alias("_top"))
-    ranked = wanted.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
-    return ranked.crossJoin(F.broadcast(highest)).select(sequential_id(prefix, F.col("_top") + F.col("_n"), width).alias("id"), *wanted.columns)
+    return numbered(wanted, order).crossJoin(F.broadcast(highest)).select(sequential_id(prefix, F.col("_top") + F.col("_n"), width).alias("id"), *wanted.columns)
 
 
 class Register:
