@@ -38,7 +38,7 @@ def _parser() -> argparse.ArgumentParser:
         return p
 
     path = {"type": Path, "default": None}
-    sub("fetch", "--verify", "--shallow-verify", "--force", "--write-digest", pin=path, dest=path, source=path)
+    sub("fetch", "--verify", "--shallow-verify", "--force", "--write-digest", pin=path, dest=path, source={"default": None})
     sub("recon", provision={"default": PILOT}, out=path, generated={"default": None})
     sub("worksheet", "--no-page-mates", provision={"default": PILOT}, out=path, generated={"default": None})
     sub("harness", "--no-resolution", "--allow-incomplete", gold_dir=path)
@@ -78,7 +78,7 @@ def _fetch(a) -> int:
         if a.verify or a.shallow_verify:
             print(f"verified {snapshot.verify(spark, dest, pin, deep=not a.shallow_verify)['commit']}")
         else:
-            receipt = snapshot.fetch(spark, replace(pin, tree_sha256=None) if a.write_digest else pin, a.source or dest, dest, a.force)
+            receipt = snapshot.fetch(spark, replace(pin, tree_sha256=None) if a.write_digest else pin, a.source or (dest if a.write_digest and dest.exists() else None), dest, a.force)
             if a.write_digest:
                 Path(pin_path).write_text(replace(pin, tree_sha256=receipt["tree_sha256"]).to_json(), "utf-8")
             print(f"fetched {receipt['commit']}")

@@ -11,6 +11,7 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..model import SheetMismatch
@@ -97,9 +98,17 @@ def header_differences(expected: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("e", "f").alias("header"), F.when(F.col("f").isNull(), "missing").otherwise("unknown").alias("state"))
 
 
-def blank_columns(*names: str) -> Column:
-    """The names of the columns that are null or empty."""
-    return F.array_compact(F.array(*[F.when(F.coalesce(F.col(n), F.lit("")) == "", F.lit(n)) for n in names]))
+def blank_columns(fields: list[T.StructField], inside: Column | None = None, prefix: str = "") -> Column:
+    """The names of the fields that are null, an empty string or an empty array; fields of a present struct are named with dots."""
+    parts = []
+    for f in fields:
+        value, name = F.col(f.name) if inside is None else inside[f.name], F.array(F.lit(prefix + f.name))
+        if isinstance(f.dataType, T.StructType):
+            parts.append(F.when(value.isNull(), name).otherwise(blank_columns(f.dataType.fields, value, f"{prefix}{f.name}.")))
+            continue
+        empty = value == "" if isinstance(f.dataType, T.StringType) else F.size(value) == 0 if isinstance(f.dataType, T.ArrayType) else F.lit(False)
+        parts.append(F.when(value.isNull() | empty, name).otherwise(F.array().cast("array<string>")))
+    return F.concat(*parts)
 
 
 def attach_children(parents: DataFrame, children: DataFrame) -> DataFrame:
@@ -142,7 +151,7 @@ def parse_rows(cells: DataFrame, sheet: Sheet) -> DataFrame:
         said = f" is not one of {', '.join(map(str, f.allowed))}" if f.allowed else f" is not a {f.kind}"
         faults.append(F.when(bad, F.concat(F.lit(f"{f.header} is '"), text.trim_to_null(raw), F.lit(f"', which{said}"))))
         if f.required and not f.nullable:
-            faults.append(F.when(value.isNull() & ~bad, F.lit(f"{f.header} is blank, so the row is not yet a record")))
+            faults.append(F.when(value.isNull() & ~bad, F.lit(f"{f.header} is blank: the row makes no record")))
     if any(f.path[:1] == ("span",) for f in sheet.fields):
         start, end = (text.trim_to_null(F.col(f"`span.{x}`")) for x in ("start", "end"))
         faults.append(F.when(start.isNull() != end.isNull(), F.lit("span.start and span.end must be given together, or neither")))

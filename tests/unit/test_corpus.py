@@ -2,6 +2,9 @@
 
 import hashlib
 import json
+import shutil
+import subprocess
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
@@ -186,7 +189,7 @@ def test_digest(spark, tmp_path):
     before = snapshot.tree_digest(spark, tmp_path, ("a",))
     (tmp_path / "a/z.bin").write_bytes(b"edited")
     assert snapshot.tree_digest(spark, tmp_path, ("a",)) != before
-    with pytest.raises(M.SnapshotMismatch, match="missing"):
+    with pytest.raises(M.SnapshotMismatch, match="does not hold"):
         snapshot.tree_digest(spark, tmp_path, ("c",))
 
 
@@ -221,6 +224,45 @@ def test_fetch_publishes_all_or_nothing(spark, root):
     assert (dest / "snapshot/pages/Part2/b.json").exists()
 
 
+def test_fetch_takes_one_commit_of_a_repository(spark, root):
+    repo = root / "origin"
+    shutil.copytree(root / "data/upstream", repo)
+    git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, text=True).stdout.strip()
+    git("init", "--quiet")
+    git("add", "snapshot")
+    git("commit", "--quiet", "-m", "one")
+    commit = git("rev-parse", "HEAD")
+    (repo / "snapshot/manifest.json").write_text("{}")
+    git("commit", "--quiet", "-a", "-m", "two")
+    (repo / "snapshot/pages/Part2/b.json").unlink()  # neither what came later nor what is not committed counts
+    pin = replace(snapshot.Pin.load(root / "data/pin.json"), commit=commit, clone_url=f"file://{repo}")
+    for source in (None, repo, f"file://{repo}"):
+        receipt = snapshot.fetch(spark, pin, source, root / "copy", force=True)
+        assert receipt["commit"] == commit and receipt["tree_sha256"] == plain_digest(root / "copy", ["snapshot"])
+        assert (root / "copy/snapshot/pages/Part2/b.json").exists()
+    with pytest.raises(M.SnapshotMismatch):
+        snapshot.fetch(spark, replace(pin, commit="c" * 40), repo, root / "other")
+    with pytest.raises(M.SnapshotMismatch):
+        snapshot.fetch(spark, replace(pin, paths=("snapshot", "absent")), repo, root / "other")
+    assert not (root / "other").exists() and not (root / "other.incoming").exists()
+
+
+def test_predicates_of_records(loaded):
+    edges = loaded.edges
+    assert {r.extraction for r in corpus.own_links(edges).collect()} <= {"href"}
+    assert corpus.own_links(edges).count() == edges.filter("extraction = 'href'").count() > 0
+    pages = loaded.pages.withColumn("printed_page_ref", F.when(F.col("page_ref") == loaded.pages.first()["page_ref"], "TMM/Part9/x"))
+    assert corpus.misprinted(pages).count() == 1
+    want = {p["ref"]: [u["ref"] for u in p.get("units", [])] for p in PROVISIONS}
+    units = spark_units(loaded)
+    assert {r.ref: r.unit_refs for r in units.collect()} == want
+
+
+def spark_units(loaded):
+    rows = loaded.provisions.sparkSession.createDataFrame([(p["ref"], json.dumps(p.get("units", []))) for p in PROVISIONS], "ref string, units string")
+    return corpus.unit_refs(rows)
+
+
 def test_commands(root, capsys):
     run = lambda *a: cli.main(["--root", str(root), *a])
     assert run("fetch", "--verify") == 0 and run("recon", "--generated", "d") == 0 and run("worksheet", "--no-page-mates") == 0
