@@ -17,7 +17,7 @@ from ..functions import text
 from . import corpus
 from . import gold_schema as S
 
-FINDING = "check_seq int, type_seq int, pos int, sub int, severity string, check string, subject string, message string"
+FINDING = "check_seq int, type_seq int, pos int, sub long, severity string, check string, subject string, message string"
 ORDER = ("check_seq", "type_seq", "pos", "sub")
 
 
@@ -81,7 +81,7 @@ def _finding(rows: DataFrame, check_seq: int, severity: str, check: str, subject
         F.lit(check_seq).alias("check_seq"),
         (F.col("type_seq") if type_seq is None else type_seq).cast("int").alias("type_seq"),
         (F.col("pos") if pos is None else pos).cast("int").alias("pos"),
-        (F.lit(0) if sub is None else sub).cast("int").alias("sub"),
+        (F.lit(0) if sub is None else sub).cast("long").alias("sub"),
         F.lit(severity).alias("severity"),
         F.lit(check).alias("check"),
         subject.alias("subject"),
@@ -113,22 +113,28 @@ def schema(gold: DataFrame, types: tuple[str, ...] = S.RECORD_TYPES) -> DataFram
     return _finding(rows, _seq("schema"), M.DEFECT, "schema", F.col("subject"), F.concat(F.lit("at "), where, F.lit(": "), F.col("message")), F.col("sub"))
 
 
+def repeats(rows: DataFrame, key: list[str], order: list[str], kind: str) -> DataFrame:
+    """Rows whose key an earlier row has, with nth, before (the kind of the row just before) and said."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    again = rows.withColumn("nth", F.row_number().over(w)).withColumn("before", F.lag(kind).over(w)).filter("nth > 1")
+    both = F.concat(F.lit("one id for a "), F.col("before"), F.lit(" and a "), F.col(kind))
+    return again.withColumn("said", F.when(F.col("before") != F.col(kind), both).otherwise("an earlier record has this id"))
+
+
 def identifiers(gold: DataFrame, retired: DataFrame) -> DataFrame:
     """retired: id, retired_on."""
     named = gold.filter(F.col("id").isNotNull())
     prefix = F.create_map(*[F.lit(x) for kv in S.ID_PREFIXES.items() for x in kv])[F.col("record_type")]
     file = F.create_map(*[F.lit(x) for kv in S.FILES.items() for x in kv])[F.col("record_type")]
     wrong = named.filter(~F.startswith(F.col("id"), F.concat(prefix, F.lit("-"))))
-    w = Window.partitionBy("id").orderBy("type_seq", "pos")
-    again = named.withColumn("_n", F.row_number().over(w)).withColumn("_last", F.lag("record_type").over(w)).filter("_n > 1")
-    twice = F.when(F.col("_last") != F.col("record_type"), F.concat(F.lit("used twice: as a "), F.col("_last"), F.lit(" and as a "), F.col("record_type"))).otherwise("used by two records")
+    again = repeats(named, ["id"], ["type_seq", "pos"], "record_type")
     back = named.join(retired.select(F.col("id").alias("_r"), "retired_on"), F.col("id") == F.col("_r"))
     when = F.coalesce(F.concat(F.lit(" (withdrawn "), F.nullif(F.col("retired_on"), F.lit("")), F.lit(")")), F.lit(""))
     k = _seq("ids")
     return _union(
         [
             _finding(wrong, k, M.DEFECT, "ids", F.col("id"), F.concat(F.lit("a "), F.col("record_type"), F.lit(" must carry a "), prefix, F.lit("- id; it is in "), file)),
-            _finding(again, k, M.DEFECT, "ids", F.col("id"), twice, F.lit(1)),
+            _finding(again, k, M.DEFECT, "ids", F.col("id"), F.col("said"), F.lit(1)),
             _finding(back, k, M.DEFECT, "ids", F.col("id"), F.concat(F.lit("reuses a retired id"), when), F.lit(2)),
         ]
     )
@@ -136,7 +142,7 @@ def identifiers(gold: DataFrame, retired: DataFrame) -> DataFrame:
 
 def cross_references(gold: DataFrame) -> DataFrame:
     """A value must be the id of a record whose type has one of the allowed prefixes."""
-    v, named = F.col("v"), F.lit(None).cast("array<struct<sub:int,pointer:string,value:string,allowed:array<string>>>")
+    v, named = F.col("v"), F.lit(None).cast("array<struct<sub:bigint,pointer:string,value:string,allowed:array<string>>>")
     for t in dict.fromkeys(t for t, _, _ in CROSS_REFERENCES):
         own = [(k, f, p) for k, (u, f, p) in enumerate(CROSS_REFERENCES) if u == t]
         named = F.when(_is(t), F.concat(*[_pointed(S.read_path(v, (f, "*")), k, F.array(*map(F.lit, p))) for k, f, p in own])).otherwise(named)
@@ -153,7 +159,7 @@ def cross_references(gold: DataFrame) -> DataFrame:
 def _pointed(found: Column, k: int, allowed: Column | None = None) -> Column:
     """read_path()'s elements as structs of sub (their order), pointer and value (a string or null)."""
     more = [] if allowed is None else [allowed.alias("allowed")]
-    return F.transform(found, lambda x, i: F.struct((i + 10_000 * k).cast("int").alias("sub"), x["pointer"].alias("pointer"), S.text_of(x["value"]).alias("value"), *more))
+    return F.transform(found, lambda x, i: F.struct((F.lit(k << 32) + i).alias("sub"), x["pointer"].alias("pointer"), S.text_of(x["value"]).alias("value"), *more))
 
 
 def approval(gold: DataFrame) -> DataFrame:
@@ -173,7 +179,7 @@ def judgement(gold: DataFrame) -> DataFrame:
     parts.append(_finding(bare, k, M.NOTE, "not_labels", F.col("subject"), F.lit("no not_labels"), type_seq=F.lit(100)))
     tested = S.text_of(S.get(F.col("v"), "detectable_by")) == "test"
     loose = gold.filter(_is("prohibited_use") & F.coalesce(tested, F.lit(False)) & S.blank(S.get(F.col("v"), "test_ref")))
-    parts.append(_finding(loose, k, M.NOTE, "test_ref", F.col("subject"), F.lit("detectable_by: test, but no test_ref yet"), type_seq=F.lit(101)))
+    parts.append(_finding(loose, k, M.NOTE, "test_ref", F.col("subject"), F.lit("a test is to detect it; test_ref names none"), type_seq=F.lit(101)))
     return _union(parts)
 
 
@@ -181,14 +187,19 @@ def enum_counts(gold: DataFrame, record_type: str, field: str) -> DataFrame:
     """value_seq, value and n for every declared value of the field, 0 included."""
     spark = gold.sparkSession
     values = spark.createDataFrame(list(enumerate(map(str, S.enum_values(record_type, field)))), "value_seq int, value string")
-    counts = gold.filter(_is(record_type)).groupBy(S.text_of(S.get(F.col("v"), field)).alias("value")).agg(F.count("*").alias("_n"))
+    return value_counts(values, gold.filter(_is(record_type)), S.text_of(S.get(F.col("v"), field)))
+
+
+def value_counts(values: DataFrame, rows: DataFrame, value: Column) -> DataFrame:
+    """values (value_seq, value: a few, fixed) with n, how many rows have each, 0 included."""
+    counts = rows.groupBy(value.alias("value")).agg(F.count("*").alias("_n"))
     return F.broadcast(values).join(counts, "value", "left").select("value_seq", "value", F.coalesce("_n", F.lit(0)).alias("n"))
 
 
-def majority_gap(rows: DataFrame, flag: Column) -> DataFrame:
-    """plain, n and gap: whether rows whose flag is false fail to be more than half (no rows, no gap)."""
+def majority_gap(rows: DataFrame, flag: Column, *by: str) -> DataFrame:
+    """plain, n and gap of each group: whether rows whose flag is false fail to be more than half (no rows, no gap)."""
     plain = F.count_if(F.coalesce(flag == F.lit(False), F.lit(False)))
-    return rows.agg(plain.alias("plain"), F.count("*").alias("n")).withColumn("gap", (F.col("n") > 0) & (2 * F.col("plain") <= F.col("n")))
+    return rows.groupBy(*by).agg(plain.alias("plain"), F.count("*").alias("n")).withColumn("gap", (F.col("n") > 0) & (2 * F.col("plain") <= F.col("n")))
 
 
 def coverage(gold: DataFrame) -> DataFrame:
@@ -244,7 +255,7 @@ def completeness(gold: DataFrame, documents: DataFrame) -> DataFrame:
 
 def resolution(gold: DataFrame, found: DataFrame, snapshot: str = "", types: tuple[str, ...] = S.RECORD_TYPES) -> DataFrame:
     """found: corpus.targets(); types: the record types that may occur."""
-    named = F.lit(None).cast("array<struct<sub:int,pointer:string,value:string>>")
+    named = F.lit(None).cast("array<struct<sub:bigint,pointer:string,value:string>>")
     for t in types:
         if paths := S.ref_paths(t):
             named = F.when(_is(t), F.concat(*[_pointed(S.read_path(F.col("v"), path), k) for k, path in enumerate(paths)])).otherwise(named)
@@ -310,6 +321,11 @@ def not_resolved(spark: SparkSession, reason: str) -> DataFrame:
     return spark.createDataFrame([(_seq("resolution"), 0, 0, 0, M.GAP, "resolution", "corpus", f"the resolution checks did not run: {reason}")], FINDING)
 
 
+def present_types(records: DataFrame) -> tuple[str, ...]:
+    """The record types that occur, eight at most."""
+    return tuple(r[0] for r in records.filter(F.col("record_type").isin(*S.RECORD_TYPES)).select("record_type").distinct().sort("record_type").collect())
+
+
 def findings(records: DataFrame, files: DataFrame, retired: DataFrame, documents: DataFrame, found: DataFrame | None, snapshot: str = "", reason: str = "not requested", types: tuple[str, ...] = S.RECORD_TYPES) -> DataFrame:
     """All checks' findings; without corpus targets the corpus checks are reported as a gap.
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import refs, text
-from ..operators import corpus, gold_checks, gold_schema, intake, provenance, register, scope
+from ..operators import corpus, gold_checks, gold_schema, intake, provenance, recon, register, scope
 from ..sources import documents
 from .views import Views
 
@@ -51,6 +51,19 @@ def needs_human_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.ambiguous(Views(spark, sf_dir).edges()).select("chunk_ref", "id")
 
 
+def authors_own_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.own_links(Views(spark, sf_dir).edges()).select("chunk_ref", "id")
+
+
+def misprinted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.misprinted(Views(spark, sf_dir).printed_pages()).select("page_ref", "printed_page_ref")
+
+
+def provision_unit_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.unit_refs(Views(spark, sf_dir).whole_provisions())
+    return rows.select("ref", F.array_join("unit_refs", ",").alias("unit_refs"), F.size("unit_refs").alias("n"))
+
+
 # ---------------------------------------------------------------- scope and joins
 
 
@@ -66,7 +79,7 @@ def chunks_citing_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multi_scope_ancestor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
-    scopes = v.table("part").filter("p_partkey < 100").select(F.concat(F.lit("TMA1995/s"), F.col("p_partkey").cast("string")).alias("scope"))
+    scopes = v.table("part").select(F.concat(F.lit("TMA1995/s"), F.col("p_partkey").cast("string")).alias("scope"))
     return scope.scopes_of_edges(v.edges().select("id"), scopes).groupBy("scope").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
 
 
@@ -122,9 +135,7 @@ def stale_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
-    pages = v.table("pages").select(F.col("page_id").alias("_id"), "url")
-    chosen = scope.select_chunks(v.chunks(), v.edges(), SCOPE).withColumn("_page", refs.part_id(F.replace("chunk_ref", F.lit("TMM/Part"), F.lit("x/"))).cast("bigint"))
-    return chosen.join(pages, F.col("_page") == F.col("_id")).select("chunk_ref", "url", F.when(F.col("citing"), "★").otherwise("").alias("mark"))
+    return recon.with_pages(scope.select_chunks(v.chunks(), v.edges(), SCOPE), v.pages()).select("chunk_ref", "url", "mark")
 
 
 def parent_child_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,19 +156,18 @@ def orphan_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trust_metadata_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     matching = Views(spark, sf_dir).edges().filter(F.startswith("id", F.lit("TMA1995/")))
-    return matching.groupBy("extraction", text.or_dash(F.col("certainty")).alias("certainty")).agg(F.count("*").alias("n"))
+    return recon.trust_counts(matching, "extraction", "certainty")
 
 
 def counts_by_part_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = Views(spark, sf_dir).chunks().withColumn("part", refs.part_id(F.col("chunk_ref")))
-    return chunks.groupBy("part", "kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "part", "kind")
+    return recon.counts(Views(spark, sf_dir).chunks(), part=refs.part_id(F.col("chunk_ref")), kind=F.col("kind")).orderBy(F.desc("n"), "part", "kind")
 
 
 def case_mentions_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = F.year("o_orderdate").cast("string")
     case = F.concat(F.lit("CASE/"), year, F.lit("/FCA/"), (F.col("o_custkey") % 50).cast("string"))
-    rows = Views(spark, sf_dir).table("orders").select(case.alias("case_id"), F.concat(F.lit("["), year, F.lit("] "), "o_orderpriority").alias("citation"), "o_orderkey")
-    return rows.groupBy("case_id").agg(F.max_by("citation", "o_orderkey").alias("citation"), F.count("*").alias("n")).orderBy(F.desc("n"), "case_id").limit(20)
+    rows = Views(spark, sf_dir).table("orders").select(case.alias("id"), F.concat(F.lit("["), year, F.lit("] "), "o_orderpriority").alias("citation"), "o_orderkey")
+    return recon.mentions(rows, F.col("o_orderkey")).withColumnRenamed("id", "case_id").limit(20)
 
 
 def distinct_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,10 +175,7 @@ def distinct_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = Views(spark, sf_dir).chunks().withColumn("words", text.word_count(F.col("text")))
-    by = chunks.groupBy("kind").agg(F.count("*").alias("chunks"), F.sum("words").alias("words"))
-    total = by.agg(F.sum("chunks").alias("all"))
-    return by.crossJoin(F.broadcast(total)).select("kind", "chunks", "words", text.percent(F.col("chunks"), F.col("all")).alias("share"))
+    return recon.shares(recon.words(Views(spark, sf_dir).chunks(), "kind"))
 
 
 def dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,10 +187,8 @@ _LINE = ("l_returnflag", "l_partkey", "l_suppkey", "l_quantity", "l_extendedpric
 
 
 def duplicate_ids_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*_LINE)
-    rows = Views(spark, sf_dir).table("lineitem").withColumn("n", F.row_number().over(w)).withColumn("before", F.lag("l_returnflag").over(w))
-    said = F.when(F.col("before") == F.col("l_returnflag"), "used by two records").otherwise("used twice")
-    return rows.filter("n > 1").select("l_orderkey", "l_linenumber", "n", "before", said.alias("said"))
+    rows = gold_checks.repeats(Views(spark, sf_dir).table("lineitem"), ["l_orderkey", "l_linenumber"], list(_LINE), "l_returnflag")
+    return rows.select("l_orderkey", "l_linenumber", F.col("nth").alias("n"), "before", "said")
 
 
 def page_break_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +198,7 @@ def page_break_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = Views(spark, sf_dir).table("customer")
     had = customers.filter("c_custkey % 2 = 0").select(register.sequential_id("CU", F.col("c_custkey"), 4).alias("id"))
-    return register.allocate(had, customers.filter("c_custkey % 2 = 1 and c_nationkey = 7").select("c_custkey"), ["c_custkey"], "CU", 4)
+    return register.allocate(had, customers.filter("c_custkey % 2 = 1").select("c_custkey"), ["c_custkey"], "CU", 4)
 
 
 def ordered_page_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,14 +212,13 @@ def page_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def majority_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Views(spark, sf_dir).table("labels").join(Views(spark, sf_dir).table("documents").select("doc_id", "lang"), "doc_id")
-    plain = F.count_if(F.col("quality") == 0)
-    return rows.groupBy("lang").agg(plain.alias("plain"), F.count("*").alias("n")).withColumn("gap", 2 * F.col("plain") <= F.col("n"))
+    return gold_checks.majority_gap(rows, F.col("quality") != 0, "lang")
 
 
 def enum_coverage_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = spark.createDataFrame([("click",), ("error",), ("purchase",), ("signup",), ("view",), ("withdrawn",)], "value string")
-    present = Views(spark, sf_dir).table("events").groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("_n"))
-    return F.broadcast(values).join(present, "value", "left").select("value", F.coalesce("_n", F.lit(0)).alias("n"), F.col("_n").isNull().alias("unused"))
+    values = spark.createDataFrame(list(enumerate(["click", "error", "purchase", "signup", "view", "withdrawn"])), "value_seq int, value string")
+    counted = gold_checks.value_counts(values, Views(spark, sf_dir).table("events"), F.col("event_type"))
+    return counted.select("value", "n", (F.col("n") == 0).alias("unused"))
 
 
 def pinned_count_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,8 +256,9 @@ def judgement_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blank_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Views(spark, sf_dir).gold().withColumn("surface", F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("surface")))
-    names = ("id", "surface", "approved_by", "approved_date")
-    return g.select("id", F.explode(intake.blank_columns(*names)).alias("field"))
+    approved = F.when(F.col("doc_id") % 3 != 0, F.struct(F.col("approved_by").alias("by"), F.col("approved_date").alias("date")))
+    rows = g.select("id", "surface", approved.alias("approved"), F.when(F.col("doc_id") % 4 != 0, F.array("type")).alias("types"))
+    return rows.select("id", F.explode(intake.blank_columns(rows.schema.fields)).alias("field"))
 
 
 def band_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,12 +276,10 @@ def status_exists_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
-    gold, found = gold_checks.prepared(v.records()), corpus.targets(**v.passages())
-    parts = [gold_checks.identifiers(gold, v.retired()), gold_checks.approval(gold), gold_checks.resolution(gold, found, types=("gold_entity",)), gold_checks.spans(gold, found), gold_checks.staleness(gold, found)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    files = spark.createDataFrame([(0, "odd.yaml", "it holds no list")], "pos int, file string, reason string")
+    written = spark.createDataFrame([("eval/measures.md", "written"), ("eval/pilot-scope.md", "empty")], "path string, state string")
+    records = v.records().cache()  # every check reads them
+    return gold_checks.findings(records, files, v.retired(), written, corpus.targets(**v.passages()), "0123456789abcdef", types=gold_checks.present_types(records))
 
 
 def findings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,7 +348,7 @@ def list_cell_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def method_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three pseudo-methods vote on one span of each event's user; their ids agree, so their evidence merges."""
-    rows = Views(spark, sf_dir).table("events").filter("event_id % 3 <> 1 or event_type = 'view'")
+    rows = Views(spark, sf_dir).table("events")
     ref = F.concat(F.lit("TMA1995/s"), F.col("user_id").cast("string"))
     cid = text.candidate_id(ref, F.lit(0), F.length("event_type"), F.lower("event_type"))
     method = F.element_at(F.array(F.lit("regex"), F.lit("yake"), F.lit("human")), (F.col("event_id") % 3 + 1).cast("int"))
@@ -374,18 +377,13 @@ def provenance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blockquote_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "extraction", "certainty"))), _edge_text), "; ")
+    edges = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "extraction", "certainty"))), lambda e: recon.edge_text(e, SCOPE)), "; ")
     v = Views(spark, sf_dir)
-    by_chunk = v.edges().filter("id like 'TMA1995/s4%'").groupBy("chunk_ref").agg(edges.alias("edges"))
+    by_chunk = v.edges().groupBy("chunk_ref").agg(edges.alias("edges"))
     rows = v.chunks().join(by_chunk, "chunk_ref", "left")
     return rows.select("chunk_ref", text.blockquote(F.col("text")).alias("quote"), text.or_dash(F.col("edges")).alias("edges"))
 
 
-def _edge_text(e: Column) -> Column:
-    certainty = F.coalesce(F.concat(F.lit(", "), e["certainty"]), F.lit(""))
-    return F.concat(F.lit("`"), e["id"], F.lit("` ("), e["extraction"], certainty, F.lit(")"), F.when(refs.in_scope(e["id"], F.lit(SCOPE)), " ←").otherwise(""))
-
-
 def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: events in five-minute windows."""
     w = F.window(F.col("ts").cast("timestamp"), "5 minutes")
@@ -396,7 +394,7 @@ def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        page_mates_semi, scan_typed_projection, nested_json_projection, unknown_field_drift, part_id_projection, text_slice, needs_human_edges, scope_match_prefix, chunks_citing_any,
+        page_mates_semi, scan_typed_projection, nested_json_projection, unknown_field_drift, part_id_projection, text_slice, needs_human_edges, authors_own_links, misprinted_pages, provision_unit_refs, scope_match_prefix, chunks_citing_any,
         multi_scope_ancestor_join, resolve_priority_join, join_coverage, unresolved_anti, trust_metadata_counts, counts_by_part_kind, case_mentions_topk, distinct_pages, word_volume,
         dedup_last_wins, duplicate_ids_lag, page_break_flag, sequential_ids, ordered_page_lists, page_digest, approval_gaps, judgement_notes, blank_fields, cross_reference_anti,
         retired_reuse, span_landing, stale_hash, page_lookup, parent_child_attach, orphan_children, enum_coverage_anti, band_gate, pinned_count_compare, header_full_outer,
@@ -404,4 +402,3 @@ QUERIES = {
         list_cell_split, provenance_checks, blockquote_render, schema_validate, events_tumbling,
     )
 }
-HEADLINE = ("page_mates_semi", "join_coverage", "multi_scope_ancestor_join", "resolve_priority_join", "word_volume", "span_landing", "parent_child_attach", "findings_union", "schema_validate", "method_agreement")

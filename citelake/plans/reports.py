@@ -16,11 +16,11 @@ from ..sources.gold_files import GoldSet
 from ..sources.snapshot import Pin
 
 GAP_SECTIONS = (
-    ("completeness", "Deliverables not yet delivered"),
-    ("coverage", "Coverage the definition of done requires"),
-    ("judgement", "Judgement fields left empty"),
-    ("approval", "Records transcribed but not approved"),
-    ("resolution", "Checks that could not run"),
+    ("completeness", "Deliverables still to come"),
+    ("coverage", "Coverage still wanting"),
+    ("judgement", "Judgements still to be made"),
+    ("approval", "Records waiting for approval"),
+    ("resolution", "Checks not run"),
 )
 
 

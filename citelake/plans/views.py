@@ -33,6 +33,24 @@ class Views:
             page.alias("page_ref"), F.concat(page, F.lit("#"), _text(F.col("turn"))).alias("chunk_ref"), F.col("turn").cast("int").alias("ordinal"), F.col("role").alias("kind"), "text", _hash(F.col("text")).alias("content_hash")
         )
 
+    def pages(self) -> DataFrame:
+        """One page for each conversation's chunks, with the address of the page of its part's number."""
+        page = _page_ref(F.col("conv_id"))
+        chunk_pages = self.table("conversations").select(page.alias("page_ref"), (F.col("conv_id") % 60 + 1).alias("_part")).distinct()
+        return chunk_pages.join(self.table("pages").select(F.col("page_id").alias("_part"), "url"), "_part").select("page_ref", "url")
+
+    def printed_pages(self) -> DataFrame:
+        """Pages of which some print a ref of their own."""
+        i = F.col("page_id")
+        return self.table("pages").select(_text(i).alias("page_ref"), F.when(i % 7 == 0, F.concat(F.lit("TMM/Part"), _text(i))).alias("printed_page_ref"))
+
+    def whole_provisions(self) -> DataFrame:
+        """Provisions with their units as JSON text, as a document carries them."""
+        ref = F.concat(F.lit("TMA1995/s"), _text(F.col("p_partkey")))
+        numbers = F.when(F.col("p_size") > 10, F.sequence(F.lit(1), F.col("p_size").cast("int") % 4 + 1)).otherwise(F.array().cast("array<int>"))
+        units = F.transform(numbers, lambda k: F.struct(F.concat(ref, F.lit("("), _text(k), F.lit(")")).alias("ref"), k.alias("ordinal")))
+        return self.table("part").select(ref.alias("ref"), F.to_json(units).alias("units"))
+
     def edges(self) -> DataFrame:
         """Every lineitem cites one ref from the first or second chunk of a page."""
         many = self.table("conversations").agg((F.max("conv_id") + 1).alias("_n"))
@@ -88,7 +106,7 @@ class Views:
         }
 
     def retired(self) -> DataFrame:
-        return self.table("labels").filter("quality = 0 and doc_id % 3 = 0").select(F.concat(F.lit("GE-"), F.lpad(_text(F.col("doc_id")), 9, "0")).alias("id"), F.lit("2023-05-01").alias("retired_on"))
+        return self.table("labels").filter("quality = 0").select(F.concat(F.lit("GE-"), F.lpad(_text(F.col("doc_id")), 9, "0")).alias("id"), F.lit("2023-05-01").alias("retired_on"))
 
     def records(self) -> DataFrame:
         """The gold rows as JSON records (record_type, file, pos, raw) with declared-schema faults."""

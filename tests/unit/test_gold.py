@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from citelake import cli
 from citelake import model as M
 from citelake.functions import text
-from citelake.operators import corpus, gold_checks, intake, provenance, register
+from citelake.operators import corpus, gold_checks, intake, provenance, register, schema_files
 from citelake.operators import gold_schema as S
 from citelake.plans import reports
 from citelake.sources import gold_files
@@ -169,7 +169,7 @@ def test_defective_directory(spark, tmp_path):
     )
     by = {(r.check, r.subject): r.message for r in found.collect()}
     assert "not a gold file name" in by["gold-file", "entites.yaml"] and "expected a YAML list" in by["gold-file", "search-questions.yaml"]
-    assert by["ids", "GE-001"] == "used by two records" and "must carry a GC- id" in by["ids", "GE-900"] and "reuses a retired id (withdrawn 2024-01-01)" in by["ids", "GE-777"]
+    assert by["ids", "GE-001"] == "an earlier record has this id" and "must carry a GC- id" in by["ids", "GE-900"] and "reuses a retired id (withdrawn 2024-01-01)" in by["ids", "GE-777"]
     assert "falls outside" in by["span", "GE-003"] and "does not land" in by["span", "GE-004"] and "holds no text" in by["span", "GE-005"] and "returns to the expert" in by["staleness", "GE-006"]
     assert status.exit_code == 1 and not status.complete
     order = [r.check_seq for r in found.orderBy(*gold_checks.ORDER).collect()]
@@ -218,7 +218,7 @@ def test_gaps_and_notes(spark):
     ]
     gold = gold_checks.prepared(frame(spark, missing))
     assert [(r.subject, r.message.split(" ")[0]) for r in gold_checks.approval(gold).collect()] == [("GR-001", "approved_by")]
-    assert sorted((r.severity, r.subject, r.message.split(" ")[0]) for r in gold_checks.judgement(gold).collect()) == [("gap", "GR-001", "span"), ("gap", "GR-001", "tier"), ("note", "GC-001", "no"), ("note", "PU-001", "detectable_by:")]
+    assert sorted((r.severity, r.subject, r.message.split(" ")[0]) for r in gold_checks.judgement(gold).collect()) == [("gap", "GR-001", "span"), ("gap", "GR-001", "tier"), ("note", "GC-001", "no"), ("note", "PU-001", "a")]
     found = {r.subject for r in gold_checks.coverage(gold).collect()}
     assert {"search questions", "CQ-001"} <= found
     assert "<gold_entity with no id>" in {r.subject for r in gold_checks.schema(gold).collect()}
@@ -330,3 +330,48 @@ def test_streaming(spark, tmp_path):
 
 def test_normalise_is_the_python_function():
     assert text.normalise(" ＡＢ  ß ") == "ab ss"
+
+
+# ---------------------------------------------------------------- schema files
+
+
+def test_schema_files_resolve_references(spark, tmp_path):
+    shared = {"$id": "https://example.org/shared/1", "$defs": {"one": {"type": "string", "format": "upstream-ref", "pattern": S.REF_PATTERN}, "many": {"type": "array", "items": {"$ref": "#/$defs/one"}}, "mood": {"enum": ["must", "may"]}, "loop": {"items": {"$ref": "#/$defs/loop"}}}}
+    record = {
+        "$id": "https://example.org/record/1", "type": "object", "required": ["id", "refs"], "additionalProperties": False,
+        "properties": {"id": {"type": "string", "pattern": "^X-[0-9]+$"}, "refs": {"$ref": "https://example.org/shared/1#/$defs/many"}, "mood": {"$ref": "shared.schema.json#/$defs/mood"}, "other": {"anyOf": [{"type": "null"}, {"$ref": "shared.schema.json#/$defs/one"}]}},
+    }
+    for name, content in (("shared", shared), ("record", record), ("odd", {"properties": {"a": {"$ref": "#/$defs/none"}}}), ("loop", {"$ref": "shared.schema.json#/$defs/loop"})):
+        (tmp_path / f"{name}.schema.json").write_text(json.dumps(content))
+    files = schema_files.SchemaFiles(tmp_path)
+    assert files.node("record.schema.json") == files.node("https://example.org/record/1")
+    assert files.enum_values("record.schema.json", "mood") == ["must", "may"]
+    for wrong in (lambda: files.node("odd.schema.json"), lambda: files.node("absent"), lambda: files.enum_values("record.schema.json", "id")):
+        with pytest.raises(KeyError):
+            wrong()
+    with pytest.raises(ValueError):
+        files.node("loop.schema.json")
+    rows = [{"id": "X-1", "refs": ["TMA1995/s43"], "mood": "may", "other": None}, {"id": "Y", "refs": ["nonsense", "TMA1995/s1"], "mood": "can", "other": "TMA1995/s2", "more": 1}, {"id": "X-2"}]
+    df = spark.createDataFrame([("x", i, json.dumps(r)) for i, r in enumerate(rows)], "record_type string, pos int, raw string")
+    found = S.validate(df, ("x",), {"x": files.node("record.schema.json")}).collect()
+    paths = sorted((r["pos"], r["path"]) for r in found)
+    assert [p for p in paths if p[0] != 1] == [(2, "")] and {p for q, p in paths if q == 1} == {"", "id", "mood", "refs/0"}
+
+
+def test_ids_are_numbered_in_order_over_ranges(spark):
+    rows = [(f"n{i * 37 % 500:03d}", i % 3) for i in range(500)] + [("n100", 7)] * 0 + [("same", k) for k in range(300)]
+    wanted = spark.createDataFrame(rows, "name string, k int").repartition(7)
+    got = register.numbered(wanted, ["name", "k"], 9).orderBy("_n").collect()
+    assert [(r["name"], r["k"]) for r in got] == sorted(rows) and [r["_n"] for r in got] == list(range(1, len(rows) + 1))
+    assert register.numbered(wanted.limit(0), ["name"]).count() == 0
+    odd = spark.createDataFrame([(None,), ("b",), ("a",)], "name string")
+    assert [r["name"] for r in register.numbered(odd, ["name"], 2).orderBy("_n").collect()] == [None, "a", "b"]
+
+
+def test_order_of_very_many_refs(spark):
+    refs = [f"nonsense {i}" for i in range(10_050)]
+    raw = {**VALID["gold_concept"], "definition_sources": refs, "legislative_basis": ["odd"]}
+    records = spark.createDataFrame([("gold_concept", "f", 0, json.dumps(raw))], "record_type string, file string, pos int, raw string")
+    found = spark.createDataFrame([], "ref string, level string, text string, content_hash string")
+    rows = gold_checks.resolution(gold_checks.prepared(records), found, types=("gold_concept",)).orderBy("sub").collect()
+    assert len({r["sub"] for r in rows}) == len(rows) == 10_051 and ".legislative_basis" in rows[-1]["message"]
