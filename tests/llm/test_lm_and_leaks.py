@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -152,7 +153,7 @@ def edited(r, s, n):
 def test_leaks_against_brute_force(spark, prose, odd_rows, monkeypatch):
     r = random.Random(9)
     items = [(i, t[:n]) for i, ((_, t, _), n) in enumerate(zip(prose, [30, 80, 95, 150, 260, 400, 55], strict=False))]
-    items += [(50, None), (51, ""), (52, "short"), (53, items[3][1]), (54, "É" * 60)]
+    items += [(50, None), (51, ""), (52, "short"), (53, items[3][1]), (54, "É" * 60), (55, "a b c"), (56, "A"), (57, items[0][1].split()[0])]
     docs = [(d, t, s) for d, t, s in prose[20:80]]
     for k in range(90):
         d, t, s = docs[k % len(docs)]
@@ -161,14 +162,19 @@ def test_leaks_against_brute_force(spark, prose, odd_rows, monkeypatch):
         docs.append((1000 + k, t[:at] + " " + edited(r, item, r.choice([0, 0, 1, 3, 6, 12, 25])).upper().replace(" ", " \n", 1) + " " + t[at:], s))
     docs += odd_rows
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    want = {}
+    want, bad = {}, set()
     for d, t, _ in docs:
         for i, x in items:
             x = decontaminate.normalise(x)
-            if len(x) >= decontaminate.MIN_ITEM:
+            if 0 < len(x) < decontaminate.MIN_ITEM:
+                if b" " + x + b" " in b" " + decontaminate.normalise(t) + b" ":
+                    want.setdefault((d, i), []).append(0)
+                    bad.add((d, t))
+            elif x:
                 e = distance(x, decontaminate.normalise(t))
                 if e <= decontaminate.edit_budget(len(x)):
                     want.setdefault((d, i), []).append(e)
+                    bad.add((d, t))
     docs_df = table(spark, docs).withColumn("item_id", F.lit("clash"))
     for block, piece in ((decontaminate.BLOCK, decontaminate.PIECE), (300, 900)):
         monkeypatch.setattr(decontaminate, "BLOCK", block)
@@ -184,6 +190,26 @@ def test_leaks_against_brute_force(spark, prose, odd_rows, monkeypatch):
     assert len(want) > 60
     kept = decontaminate.drop_leaks(docs_df, bench)
     assert kept.columns == docs_df.columns
-    bad = {d for d, _ in want}
-    assert sorted((x.doc_id for x in kept.collect()), key=repr) == sorted((d for d, _, _ in docs if d not in bad), key=repr)
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=repr) == sorted(((d, t) for d, t, _ in docs if (d, t) not in bad), key=repr)
     assert decontaminate.find_leaks(docs_df, bench.limit(0)).count() == 0 and decontaminate.find_leaks(docs_df.limit(0), bench).count() == 0
+
+
+def test_repetitive_texts_take_little(spark):
+    items = [(1, "=" * 1500), (2, "ab" * 400), (3, "the quick brown fox jumps over the lazy dog " * 9), (4, "=" * 700 + "x" * 300)]
+    index = decontaminate.build_index(items)
+    for text, want in (("=" * 1_000_000, {1: 0}), ("ab" * 300_000, {2: 0}), ("=" * 50_000 + "x" * 320, {1: 0, 4: 0}), (("=" * 700 + "y") * 200, {1: 2})):
+        began = time.perf_counter()
+        got = {m[1]: m[2] for m in decontaminate._search(index, [decontaminate.normalise(text)])}
+        assert time.perf_counter() - began < 40
+        assert {k: got.get(k) for k in want} == want
+
+
+def test_heavy_q_grams_only_raise_counts(monkeypatch):
+    r = random.Random(2)
+    items = [(k, "".join(r.choices("ab ", k=r.randint(60, 200)))) for k in range(6)]
+    texts = [decontaminate.normalise("".join(r.choices("ab ", k=900)) + items[k % 6][1] + "c") for k in range(12)]
+    exact = [dict(decontaminate.matches(decontaminate.build_index(items), t)) for t in texts]
+    monkeypatch.setattr(decontaminate, "HEAVY", 2)
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    heavy = [dict(decontaminate.matches(decontaminate.build_index(items), t)) for t in texts]
+    assert [{k: v[0] for k, v in x.items()} for x in exact] == [{k: v[0] for k, v in x.items()} for x in heavy]
