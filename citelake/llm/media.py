@@ -5,8 +5,10 @@ An image becomes tiles of at most TILE by TILE pixels, each written as one NPY f
 order gives the samples again, bit for bit. Means over areas come from an integral image, which is bilinear
 between its points, so fractional areas are exact.
 
-Defined cases: null or broken images give null results; a null or empty text is stored like an empty payload (one
-unit of padding); equal texts give equal values; an empty table gives no rows.
+Defined cases: null or broken images, also those whose header asks for more samples than there are, give null results
+and the reason; a null or empty text is stored like an empty payload (one unit of padding); a very long text becomes a
+high image of many tiles; repeated rows give equal values; an empty table gives no rows; columns named like a result are
+replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -56,6 +58,9 @@ def _netpbm(data: bytes) -> np.ndarray:
         at = m.end()
     w, h, top = (*numbers, 1)[:3]
     deep = 3 if kind in (3, 6) else 1
+    least = -(-w // 8) * h if kind == 4 else w * h * deep * (2 if kind > 4 and top > 255 else 1)
+    if w < 1 or h < 1 or not 0 < top < 1 << 16 or least > len(data) - at:
+        raise ValueError("the header asks for more than there is")
     if kind <= 3:
         body = data[at:].split() if kind > 1 else list(re.sub(rb"\s", b"", data[at:]).decode())
         out = np.array([int(x) for x in body[: w * h * deep]])
@@ -76,6 +81,8 @@ def _bmp(data: bytes) -> np.ndarray:
     if packed not in (0, 3) or bits not in (8, 24, 32):
         raise ValueError("only uncompressed BMP of 8, 24 or 32 bits")
     stride = -(-w * bits // 32) * 4
+    if w < 1 or h == 0 or stride * abs(h) > len(data) - at:
+        raise ValueError("the header asks for more than there is")
     rows = np.frombuffer(data, np.uint8, stride * abs(h), at).reshape(abs(h), stride)
     rows = rows[::-1] if h > 0 else rows
     if bits == 8:
@@ -149,13 +156,13 @@ def from_tiles(tiles: list[bytes], width: int) -> np.ndarray:
 # ---------------------------------------------------------------- operators
 
 
-def _mapped(df: DataFrame, column: str, one, schema: str) -> DataFrame:
-    """df with the fields that one() returns for each value of a column."""
+def _mapped(df: DataFrame, column: str, one, schema: str, drop: bool = False) -> DataFrame:
+    """df with the fields that one() returns for each value of a column, which may be dropped."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     extra = StructType.fromDDL(schema)
-    keep = [f for f in df.schema.fields if f.name not in extra.fieldNames()]
+    keep = [f for f in df.schema.fields if f.name not in extra.fieldNames() and not (drop and f.name == column)]
     whole = StructType(keep + extra.fields)
     fields = to_arrow_schema(extra)
 
@@ -170,22 +177,23 @@ def _mapped(df: DataFrame, column: str, one, schema: str) -> DataFrame:
     return df.mapInArrow(releasing(run), whole)
 
 
+def _decoded(data: bytes | None) -> tuple:
+    """height, width, channels, thumbnail, tiles, dhash and error of an image."""
+    if data is None:
+        return (None,) * 7
+    try:
+        image = decode_image(data)
+        return (image.shape[0], image.shape[1], image.shape[2] if image.ndim == 3 else 1, to_tiles(area_resize(image, 8, 9))[0], to_tiles(image), difference_hash(image), None)
+    except (ValueError, IndexError, struct.error, TypeError, ArithmeticError) as e:
+        return (None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200])
+
+
 def decode_media(df: DataFrame, column: str = "media") -> DataFrame:
     """df with height, width, channels, thumbnail (8 by 9 area means as an NPY file), tiles (NPY files), dhash and error.
 
     Keeps df's other columns. Rows of broken images get nulls and the reason in error.
     """
-
-    def one(data):
-        if data is None:
-            return (None,) * 7
-        try:
-            image = decode_image(data)
-            return (image.shape[0], image.shape[1], image.shape[2] if image.ndim == 3 else 1, to_tiles(area_resize(image, 8, 9))[0], to_tiles(image), difference_hash(image), None)
-        except (ValueError, IndexError, struct.error, TypeError, ZeroDivisionError) as e:
-            return (None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200])
-
-    return _mapped(df, column, one, "height int, width int, channels int, thumbnail binary, tiles array<binary>, dhash string, error string")
+    return _mapped(df, column, _decoded, "height int, width int, channels int, thumbnail binary, tiles array<binary>, dhash string, error string")
 
 
 def text_payload(text: str | None) -> bytes:
@@ -207,20 +215,36 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id with n_bytes and media: the text's bytes, unpadded, and the image that holds them."""
     text = F.coalesce(docs["text"], F.lit(""))
     lean = docs.select("doc_id", text.alias("_text"))
-    made = _mapped(lean, "_text", lambda t: (len(t.encode("utf-8")), payload_image(text_payload(t))), "n_bytes long, media binary")
-    return made.drop("_text")
+    return _mapped(lean, "_text", lambda t: (len(t.encode("utf-8")), payload_image(text_payload(t))), "n_bytes long, media binary", drop=True)
+
+
+def _digests(blobs: list[bytes], width: int) -> tuple:
+    payload = from_tiles(blobs, width).tobytes()
+    whole = b"".join(blobs)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(whole), hashlib.sha256(whole).hexdigest()
+
+
+def text_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and digests of what the tiles of each text's image hold when read back, of the tiles, and their hash.
+
+    Storing, decoding, tiling and reading back happen in one pass: an image never goes back to the JVM.
+    """
+
+    def one(text: str) -> tuple:
+        data = payload_image(text_payload(text))
+        _, width, _, _, tiles, feature, _ = _decoded(data)
+        return len(text.encode("utf-8")), *_digests(tiles, width), feature
+
+    lean = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("_text"))
+    return _mapped(lean, "_text", one, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", drop=True)
 
 
-def media_digests(stored: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and digests of what the tiles hold when read back, of the tiles themselves, and their hash."""
-    decoded = decode_media(stored).select("doc_id", "n_bytes", "width", "dhash", "tiles", F.struct("tiles", "width").alias("_read"))
+def media_digests(stored: DataFrame, column: str = "media") -> DataFrame:
+    """doc_id, n_bytes, the digests that text_digests gives, and feature, from stored images; broken ones give nulls."""
 
-    def one(value):
-        blobs = [bytes(b) for b in value["tiles"]]
-        payload = from_tiles(blobs, value["width"]).tobytes()
-        whole = b"".join(blobs)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(whole), hashlib.sha256(whole).hexdigest()
+    def one(data: bytes | None) -> tuple:
+        _, width, _, _, tiles, feature, _ = _decoded(data)
+        return (*_digests(tiles, width), feature) if tiles else (None,) * 6
 
-    lean = decoded.select("doc_id", "n_bytes", F.col("dhash").alias("feature"), "_read")
-    out = _mapped(lean, "_read", one, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    lean = stored.select("doc_id", "n_bytes", F.col(column).alias("_media"))
+    return _mapped(lean, "_media", one, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", drop=True)
