@@ -1,7 +1,9 @@
 """Brute-force versions, exact round trips and odd cases for media, quality, licenses, lines and mixing."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -59,9 +61,43 @@ def test_media_digests(spark, odd_rows):
     assert all(len(v) == 1 for v in values.values())
 
 
+def test_text_digests_are_those_of_stored_media(spark, odd_rows):
+    docs = table(spark, odd_rows).withColumn("_text", F.lit("clash"))
+    stored = media.media_digests(media.store_texts(docs))
+    got = media.text_digests(docs)
+    assert sorted(got.select(*stored.columns).collect(), key=repr) == sorted(stored.collect(), key=repr)
+
+
+def test_stored_media_against_brute_force(spark, odd_rows):
+    """The stored form and its feature, made again by plain loops."""
+    rows = [(i, t) for i, (_, t, _) in enumerate(odd_rows)]
+    for r in media.text_digests(table(spark, rows)).collect():
+        payload = media.text_payload(rows[r.doc_id][1])
+        units, kind = len(payload) // 576, len(payload) // 576 % 3
+        deep = 1 if kind == 0 else 3
+        height = len(payload) // 24 // deep
+        pixels = [[payload[(y * 24 + x) * deep : (y * 24 + x + 1) * deep] for x in range(24)] for y in range(height)]
+        if units < 12:
+            tall = [[sum(pixels[y][x]) / deep for x in range(24)] for y in range(height)]
+            big = [[tall[y // 8][x // 9] for x in range(24 * 9)] for y in range(height * 8)]
+            mean = [[round(sum(big[y][x] for y in range(i * height, (i + 1) * height) for x in range(j * 24, (j + 1) * 24)) / (24 * height), 6) for j in range(9)] for i in range(8)]
+            bits = "".join(str(int(mean[i][j + 1] > mean[i][j])) for i in range(8) for j in range(8))
+            assert r.feature == f"{int(bits, 2):016x}"
+        whole = b""
+        for y in range(0, height, 256):
+            rows_ = pixels[y : y + 256]
+            shape = f"({len(rows_)}, 24)" if deep == 1 else f"({len(rows_)}, 24, 3)"
+            head = f"{{'descr': '|u1', 'fortran_order': False, 'shape': {shape}, }}".encode()
+            pad = -(10 + len(head) + 1) % 64
+            whole += b"\x93NUMPY\x01\x00" + (len(head) + pad + 1).to_bytes(2, "little") + head + b" " * pad + b"\n" + b"".join(b"".join(row) for row in rows_)
+        assert (r.media_bytes, r.media_sha256) == (len(whole), hashlib.sha256(whole).hexdigest())
+
+
 def test_broken_images_give_reasons(spark):
-    df = spark.createDataFrame([(1, b"P5 2 2 255\nabcd"), (2, b"junk"), (3, None), (4, b"BM"), (5, b"P6 9 9 255\nx")], "id int, media binary")
+    hostile = [b"P5\n99999999999 99999999999\n255\n", b"P4\n99999999999 9999999\n", b"P3 999999999 999999999 255 1", b"P5 0 5 255\n", b"P5 1 1 0\n1", b"P6 -1 4 255\n", b"P5 " + b"9" * 5000, b"BM" + b"\xff" * 60, b"BM" + b"\x00" * 12 + b"\x28\x00\x00\x00" + b"\xff\xff\xff\x7f" * 2 + b"\x01\x00\x18\x00" + b"\x00" * 24]
+    df = spark.createDataFrame([(1, b"P5 2 2 255\nabcd"), (2, b"junk"), (3, None), (4, b"BM"), (5, b"P6 9 9 255\nx"), *[(10 + i, x) for i, x in enumerate(hostile)]], "id int, media binary")
     got = {r.id: r for r in media.decode_media(df).collect()}
+    assert all(got[10 + i].error and got[10 + i].tiles is None for i in range(len(hostile)))
     assert got[1].error is None and got[1].width == 2 and len(got[1].tiles) == 1
     assert got[3].error is None and got[3].tiles is None
     assert all(got[i].error and got[i].tiles is None for i in (2, 4, 5))
@@ -134,48 +170,95 @@ def test_base_phrases_against_brute_force(spark, odd_rows):
         assert 0 <= r.score <= 1
 
 
-def test_rules_and_containment(spark):
-    texts = {
-        1: "This program is licensed under the GNU General Public License, version 3.",
-        2: "SPDX-License-Identifier: LGPL-2.1-or-later",
-        3: "released under the GNU Lesser General Public License",
-        4: "nothing of the kind under the tree",
-        5: "CC BY-SA 4.0 license and, elsewhere, the BSD license",
-        6: "Available under the MIT license" + " x" * 3000 + " license: MPL 2.0",
-    }
-    got = {r.doc_id: r for r in licenses.scan_licenses(table(spark, list(texts.items()))).collect()}
-    assert got[1].labels == "gpl-3" and got[2].labels == "lgpl-2" and got[3].labels == "lgpl" and got[4].labels == ""
-    assert got[5].labels == "bsd,cc-by-sa" and got[6].labels == "mit,mpl-2"
-    for r in got.values():
-        norm = " " + " ".join(re.findall(r"[0-9a-z]+", texts[r.doc_id].lower())) + " "
-        for d in r.detections:
-            assert norm[d.start - 1] == " " and norm[d.end] == " "
-    assert len(licenses.rules()) >= 300
-
-
-def test_detections_against_brute_force():
-    """Containment suppression keeps nothing that lies inside a kept detection of the same or a better priority."""
-    assert all(1 <= p <= 4 and 0 < c <= 1 and all(keys) for keys, _, p, c, _ in licenses.rules())
-    for *_, pattern in licenses.rules():
-        re.compile(pattern)
-
-
-def test_keywords_are_necessary():
-    """No rule matches a text that lacks its keywords or the gate."""
-    plain = lambda x: re.sub(r"\[(\d)[^]]*\]", r"\1", re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", x))
-    seen = 0
-    for keys, label, _, _, pattern in licenses.rules():
-        name = dict((x, n) for x, _, n in licenses.NAMES)[label]
-        for variant in re.findall(r"[^|]+", name.removeprefix("(?:").removesuffix(")")) if name.startswith("(?:") and name.count("(") == 1 else [name]:
-            text = variant
-            while "(" in text:
-                text = plain(text)
-            for shape in ("licensed under the {}", "{} license", "spdx license identifier {}", "license {}"):
-                said = " " + " ".join(shape.format(text).split()) + " "
-                if re.search(pattern, said):
-                    seen += 1
-                    assert any(k in said for k in keys) and any(g in said for g in licenses.GATE), (label, said)
-    assert seen > 150
+def plain_words(text):
+    return " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))) + " "
+
+
+def slow_detections(text):
+    """Every rule over the whole text, without keywords or gate, and containment by its definition."""
+    norm = plain_words(text)
+    found = sorted((m.start(), -m.end(), p, label, sure) for _, label, p, sure, pattern in licenses.rules() for m in re.finditer(pattern, norm))
+    kept = []
+    for x in found:
+        if not any(k[1] <= x[1] and k[2] <= x[2] for k in kept):
+            kept.append(x)
+    return [(a, -z, label, sure) for a, z, _, label, sure in kept]
+
+
+BODIES = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "apache-2": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "gpl-2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-3": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
+
+def said_by(pattern, r):
+    """A text that an expression matches."""
+    from re import _parser as parser
+
+    def say(parts):
+        out = ""
+        for op, x in parts:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(x)
+            elif name == "SUBPATTERN":
+                out += say(x[3])
+            elif name == "BRANCH":
+                out += say(r.choice(x[1]))
+            elif name == "MAX_REPEAT":
+                low, high, inner = x
+                out += "some words " if high > 1 else say(inner) * r.randint(low, high)
+            elif name == "IN":
+                out += chr(r.choice([c for kind, v in x for c in (range(v[0], v[1] + 1) if str(kind) == "RANGE" else [v])]))
+            else:
+                assert name in ("ASSERT", "ASSERT_NOT"), name
+        return out
+
+    return say(parser.parse(pattern))
+
+
+def test_detections_against_brute_force(spark, odd_rows):
+    r = random.Random(4)
+    texts = [t for _, t, _ in odd_rows] + [b.upper() if k % 2 else b for k, b in enumerate(BODIES.values())]
+    texts += ["This program is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: LGPL-2.1-or-later", "nothing of the kind under the tree"]
+    texts += ["CC BY-SA 4.0 license and, elsewhere, the BSD license", "Available under the MIT license" + " x" * 3000 + " license: MPL 2.0", "the \u212a MIT license İ mit License"]
+    said = [said_by(pattern, r) for *_, pattern in licenses.rules()]
+    texts += [" ".join(r.choices(said, k=r.randint(1, 12))) for _ in range(150)]
+    got = {x.doc_id: x for x in licenses.scan_licenses(table(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        want = slow_detections(t)
+        assert [(d.start, d.end, d.label, d.confidence) for d in got[i].detections] == want, t
+        assert got[i].labels == ",".join(sorted({w[2] for w in want} | set(filter(None, got[i].base_labels.split(",")))))
+        assert got[i].score == (1.0 if got[i].n_base else max([w[3] for w in want], default=0.0))
+
+
+def test_license_bodies_are_known(spark):
+    got = {x.doc_id: x.labels.split(",") for x in licenses.scan_licenses(table(spark, list(enumerate(BODIES.values())))).collect()}
+    for i, label in enumerate(BODIES):
+        assert label in got[i], (label, got[i])
+
+
+def test_keywords_and_gate_are_necessary():
+    r = random.Random(6)
+    assert len(licenses.rules()) >= 300 and len(set(licenses.rules())) == len(licenses.rules())
+    for keyword, label, priority, sure, pattern in licenses.rules():
+        assert any(g in keyword for g in licenses.GATE) and 1 <= priority <= 4 and 0 < sure <= 1
+        for _ in range(20):
+            said = f" {said_by(pattern, r)} "
+            assert re.search(pattern, said) and keyword in said, (label, pattern, said)
+
+
+def test_very_many_detections(spark):
+    text = "licensed under the mit license and " * 20_000
+    began = time.perf_counter()
+    (got,) = licenses.scan_licenses(table(spark, [(1, text)])).select(F.size("detections").alias("n"), "n_base").collect()
+    assert (got.n, got.n_base) == (20_000, 20_000) and time.perf_counter() - began < 60
 
 
 # ---------------------------------------------------------------- lines
@@ -205,6 +288,14 @@ def test_lines_against_brute_force(spark, prose, odd_rows, least):
         assert sorted((tuple(r) for r in got), key=repr) == dedup(rows, least)
 
 
+def test_a_text_of_very_many_lines(spark):
+    rows = [(0, "\n".join(["same", *map(str, range(100_000)), *["same"] * 100_000]), "s0"), *[(i, "same", f"s{i}") for i in range(1, 9)]]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in lines.dedup_lines(table(spark, rows)).collect()}
+    assert time.perf_counter() - began < 60
+    assert (got[0].n_lines, got[0].n_removed, got[0].text) == (200_001, 100_000, "\n".join(["same", *map(str, range(100_000))])) and got[3].text == ""
+
+
 # ---------------------------------------------------------------- mixing
 
 
