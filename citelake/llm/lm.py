@@ -40,7 +40,7 @@ BITS_EACH = 8
 #: Size of a filter that may be broadcast (256 MB).
 MAX_BITS = 1 << 31
 #: Bytes of training text whose n-grams fall into one bucket, about.
-BUCKET = 16 << 20
+BUCKET = 2 << 20
 #: Least count of a word pair that the model keeps.
 LEAST_PAIR = 1
 #: Word counts that may be broadcast (12 bytes each).
