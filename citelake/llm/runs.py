@@ -84,6 +84,8 @@ def shared_runs(found: DataFrame, repeated: Column) -> DataFrame:
 def with_parts(distinct: DataFrame, items_each: Column, most: int) -> DataFrame:
     """distinct runs with `parts`: into how many parts their key's runs are to be dealt, so that one holds about `most` items."""
     hot = distinct.groupBy("key").agg(F.sum(items_each).alias("items")).filter(F.col("items") > most).select("key", F.ceil(F.col("items") / most).cast("int").alias("parts"))
+    hot = cut(hot)  # few keys, or a file, so that a key with very many runs never needs one task
+    hot = F.broadcast(hot) if hot.count() <= FEW else hot
     return distinct.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
