@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline as pipeline
 from citelake.llm import decontaminate, quality
 from tests.llm.conftest import SCHEMA
-from tests.llm.test_simple_operators import dedup
+from tests.llm.test_simhash import slow_survivors
+from tests.llm.test_simple_operators import dedup, mixed_by_hand
 
 BASE = "/root/testdata/sf0.001"
 
@@ -47,9 +48,10 @@ def test_lines_stage(steps):
     assert {r.doc_id: (r.text, r.n_chars) for r in after.collect()} == {d: (t, len(t)) for d, t in want.items()}
 
 
-def test_copies_stage_only_drops_rows(steps):
+def test_copies_stage(steps):
     before, after = steps[2]
     assert after.exceptAll(before).count() == 0 and 0 < after.count() < before.count()
+    assert {r.doc_id for r in after.collect()} == slow_survivors([(r.doc_id, r.text) for r in before.collect()])
 
 
 def test_leaks_stage(spark, steps):
@@ -64,7 +66,7 @@ def test_mix_stage(steps):
     before, after = steps[4]
     rows = after.collect()
     assert rows and all(1 <= r.copies <= 3 and r.taken == r.copies * r["size"] for r in rows)
-    assert {r.doc_id for r in rows} <= {r.doc_id for r in before.collect()}
+    assert sorted((r.doc_id, r.copies) for r in rows) == sorted((d, c) for d, t, _, c in mixed_by_hand(before) if c)
 
 
 def test_run_applies_all_stages(spark, steps):

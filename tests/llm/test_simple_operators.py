@@ -124,6 +124,46 @@ def test_trees_match_node_by_node_walk():
     assert ((model.scores(x) >= 0.5) == y).mean() > 0.95
 
 
+def slow_grow(x, y, trees, depth, rate, bins, ridge, least):
+    """Boosted trees by plain loops over nodes, features and limits."""
+    share = y.mean()
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+    raw = np.full(len(y), np.log(share / (1 - share)))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        grad, hess = p - y, p * (1 - p)
+        nodes = [np.arange(len(y))]
+        for _ in range(depth):
+            after = []
+            for rows in nodes:
+                g, h = grad[rows].sum(), hess[rows].sum()
+                best, split = 1e-9, None
+                for f in range(x.shape[1]):
+                    for limit in edges[f]:
+                        left = rows[x[rows, f] <= limit]
+                        right = rows[x[rows, f] > limit]
+                        if min(len(left), len(right)) < least:
+                            continue
+                        gl, hl = grad[left].sum(), hess[left].sum()
+                        gain = gl**2 / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g**2 / (h + ridge)
+                        if gain > best + 1e-12:
+                            best, split = gain, (left, right)
+                after += split or (rows, np.zeros(0, int))
+            nodes = after
+        for rows in nodes:
+            raw[rows] += -rate * grad[rows].sum() / (hess[rows].sum() + ridge)
+    return raw
+
+
+def test_growing_against_plain_loops():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 4)), 2)
+    x[:, 2] = rng.integers(0, 3, 300)
+    y = ((x[:, 0] + 0.3 * x[:, 1] + 0.4 * rng.normal(size=300)) > 0.1).astype(float)
+    options = {"trees": 4, "depth": 3, "rate": 0.2, "bins": 9, "ridge": 1.0, "least": 7}
+    assert np.allclose(quality.grow(x, y, **options).raw_scores(x), slow_grow(x, y, **options))
+
+
 def test_quality_on_held_out_rows(spark):
     base = "/root/testdata/sf0.01/"
     docs, labels = spark.read.parquet(base + "documents.parquet"), spark.read.parquet(base + "labels.parquet")
@@ -326,6 +366,43 @@ def test_mixing_comes_near_targets(spark, prose, odd_rows):
     assert mixing.mix_sources(table(spark, [])).count() == 0
 
 
+def slow_mix(rows):
+    """copies of each (doc_id, text, source, hash): whole passes, then by ascending hash until the target is met; the nearer side of the last hash wins."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    by = defaultdict(list)
+    for r in rows:
+        by[r[2]].append(r)
+    want = mixing.targets({s: sum(size(r[1]) for r in rs) for s, rs in by.items()}, (5, 2, 1), 3)
+    out = []
+    for s, rs in by.items():
+        whole = sum(size(r[1]) for r in rs)
+        passes = min(3, int(want[s] // whole)) if whole else 0
+        rest = want[s] - passes * whole if passes < 3 else 0.0
+        more, upto = set(), 0
+        for h in sorted({r[3] for r in rs}) if rest > 0 and whole else ():
+            n = sum(size(r[1]) for r in rs if r[3] == h)
+            if upto + n < rest or 2 * (rest - upto) >= n:
+                more.add(h)
+            upto += n
+            if upto >= rest:
+                break
+        out += [(r[0], r[1], s, passes + (r[3] in more)) for r in rs]
+    return out
+
+
+def mixed_by_hand(docs):
+    return slow_mix([(r.doc_id, r.text, r.source, r.h % (1 << 64)) for r in docs.select("doc_id", "text", "source", F.xxhash64("doc_id", "text").alias("h")).collect()])
+
+
+def test_mixing_against_brute_force(spark, prose, odd_rows):
+    same = [(i, "one two three four", "a") for i in range(30)] + [(1, "one two three four", "a")] * 5 + [(100, "long " * 500, "b"), (101, "x", "b"), (102, "", "c"), (103, None, None), (104, "y z", None)]
+    for rows in (prose, odd_rows, same, [(1, "a b c", "s")], []):
+        docs = table(spark, rows)
+        got = [(r.doc_id, r.text, r.source, r.copies) for r in mixing.mix_sources(docs).collect()]
+        taken = lambda xs: sorted(repr((d, t, s, c if (t or "").split() else 0)) for d, t, s, c in xs)
+        assert taken(got) == taken(mixed_by_hand(docs))
+
+
 def dict_text(rows, r):
     return r["text"] or ""
 
