@@ -83,9 +83,10 @@ def compacted(found: DataFrame) -> DataFrame:
     out = [F.count("after").alias("outs"), F.min("after").alias("out0"), F.max("after").alias("out1")]
     into = [F.count("before").alias("ins"), F.min("before").alias("in0"), F.max("before").alias("in1")]
     distinct = cut(found.groupBy("key", "dig", "n", "many").agg(F.min(F.struct("id", "th", "start")).alias("at"), count, *out, *into))
-    only = distinct.filter("outs = copies and out0 = out1").select("key", "dig", "n", F.col("out0").alias("next"))
-    entered = distinct.filter("ins = copies and in0 = in1").select(_run().alias("next"))
-    glued = only.join(entered.distinct(), "next", "left_semi").select("key", "dig", "n", F.lit(True).alias("glued"))
+    # a link has both its runs for a key, so a run that many others go on into is no hot key
+    only = distinct.filter("outs = copies and out0 = out1").select("key", "dig", "n", _run().alias("run"), F.col("out0").alias("next"))
+    entered = distinct.filter("ins = copies and in0 = in1").select(F.col("in0").alias("run"), _run().alias("next"))
+    glued = only.join(entered, ["run", "next"], "left_semi").select("key", "dig", "n", F.lit(True).alias("glued"))
     return distinct.select("key", "dig", "n", "many", "at").join(glued, ["key", "dig", "n"], "left").withColumn("glued", F.coalesce("glued", F.lit(False)))
 
 
