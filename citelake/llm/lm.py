@@ -10,7 +10,8 @@ The filter is sized by what it holds, pairs seen once included. Up to MAX_BITS i
 stay where they were built, the texts' n-grams are sent to them by hash, and the levels come back to the texts: the scores
 are the same. The number of buckets follows the bytes of training text, so one bucket's counts take bounded memory
 however large the corpus. Exact word counts, which the base score needs, are broadcast while there are at most
-DICTIONARY of them and joined by hash otherwise.
+DICTIONARY of them and asked for by hash, in the same way, otherwise. What is sent goes to ranges of neighbouring
+buckets, as there would be far more rows than the text calls for with one for each bucket and piece of text.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id is not held out; repeated rows all count
 and get equal scores; with no training texts every count is 0; very long texts are scored whole, one at a time; an empty
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, groups_of, mix, releasing, text_bytes, word_hashes, words_in
 from .quality import held_out
-from .runs import keyed
 
 #: Hash of the end token, which no word's hash equals but by chance.
 END = np.uint64(0xE4D0_5EED_0000_0001)
@@ -50,6 +50,12 @@ MASS = 30.0
 #: Bytes of text read or scored at once, and tokens counted before they are sent.
 PIECE = 1 << 20
 TOKENS = 1 << 20
+#: Neighbouring buckets that counts are sent to together, at most, and the ranges that are left at least.
+TOGETHER = 32
+RANGES = 256
+#: Bytes of text that asks at once, and bytes of the filter and of word counts that answer in one range, about.
+ASKING = 8 << 20
+ANSWERING = 8 << 20
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,17 +115,18 @@ def fill(grams: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass
 class Filter:
-    """stretches: one row of bytes for each bucket; a bucket is the n-gram hash's top bits."""
+    """stretches: one row of bytes for each bucket from the first on; a bucket is the n-gram hash's top bits."""
 
     stretches: np.ndarray
     shift: int
+    first: int = 0
 
     def levels(self, grams: np.ndarray, most: int = 40) -> np.ndarray:
         """Levels by repeated membership probes."""
         flat, size = self.stretches.ravel(), self.stretches.shape[1]
         out = np.zeros(len(grams), dtype=np.int64)
         left = np.arange(len(grams))
-        base = (grams >> np.uint64(self.shift)).astype(np.int64) * size if self.shift < 64 else np.zeros(len(grams), np.int64)
+        base = ((grams >> np.uint64(self.shift)).astype(np.int64) - self.first) * size if self.shift < 64 else np.zeros(len(grams), np.int64)
         for level in range(1, most + 1):
             h, step = _halves(grams[left], level)
             for i in range(PROBES):  # each probe looks only at n-grams that passed those before
@@ -134,25 +141,42 @@ class Filter:
 
 # ---------------------------------------------------------------- counting
 
-_BLOCK = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("once", pa.binary()), ("grams", pa.binary()), ("counts", pa.binary())])
-_BLOCK_DDL = "bucket int, kind int, once binary, grams binary, counts binary"
+_BLOCK = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("once", pa.binary()), ("grams", pa.binary()), ("counts", pa.binary())])
+_BLOCK_DDL = "part int, kind int, once binary, grams binary, counts binary"
 
 
-def _blocks(kind: int, grams: np.ndarray, buckets: int) -> list[dict]:
+def _edges(parts: int, first: int = 0, number: int | None = None) -> np.ndarray:
+    """The least hashes of some neighbouring parts of the hash space (of a power of two), but for the first one's."""
+    return np.arange(first + 1, first + (number or parts), dtype=np.uint64) << np.uint64(65 - parts.bit_length())
+
+
+def _blocks(kind: int, grams: np.ndarray, parts: int) -> list[dict]:
     values, counts = np.unique(grams, return_counts=True)
-    edge = np.searchsorted(values, (np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - buckets.bit_length() + 1))) if buckets > 1 else []
+    edge = np.searchsorted(values, _edges(parts))
     out = []
     for b, (v, c) in enumerate(zip(np.split(values, edge), np.split(counts, edge), strict=True)):
         if len(v):
             m = c == 1
-            out.append({"bucket": b, "kind": kind, "once": v[m].tobytes(), "grams": v[~m].tobytes(), "counts": c[~m].astype(np.int64).tobytes()})
+            out.append({"part": b, "kind": kind, "once": v[m].tobytes(), "grams": v[~m].tobytes(), "counts": c[~m].astype(np.int64).tobytes()})
     return out
 
 
-def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    once = [np.frombuffer(r["once"], np.uint64) for r in rows]
-    grams = np.concatenate([*once, *[np.frombuffer(r["grams"], np.uint64) for r in rows]])
-    counts = np.concatenate([np.ones(sum(map(len, once)), np.int64), *[np.frombuffer(r["counts"], np.int64) for r in rows]])
+def _summed(rows: list[dict], first: int, number: int, buckets: int):
+    """(bucket, grams, counts) of the buckets that blocks of one range hold, one at a time."""
+    edges = _edges(buckets, first, number)
+    once, grams, counts = ([np.frombuffer(r[k], kind) for r in rows] for k, kind in (("once", np.uint64), ("grams", np.uint64), ("counts", np.int64)))
+    cut_once, cut_grams = ([[0, *np.searchsorted(x, edges).tolist(), len(x)] for x in xs] for xs in (once, grams))
+    for b in range(number):
+        own = [x[e[b] : e[b + 1]] for x, e in zip(once, cut_once, strict=True)]
+        own += [x[e[b] : e[b + 1]] for x, e in zip(grams, cut_grams, strict=True)]
+        times = [x[e[b] : e[b + 1]] for x, e in zip(counts, cut_grams, strict=True)]
+        total = sum(map(len, own[: len(once)]))
+        found = _added(np.concatenate(own), np.concatenate([np.ones(total, np.int64), *times]))
+        if len(found[0]):
+            yield first + b, *found
+
+
+def _added(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(grams):
         return grams, counts
     order = np.argsort(grams)
@@ -163,13 +187,14 @@ def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 
 def count_grams(train: DataFrame, buckets: int, least_pair: int) -> DataFrame:
     """bucket, kind (1 words, 2 pairs), grams and counts (sorted blocks; of pairs only the counts' levels, a byte each), total, most (the highest count), and levels (how many grams have each count level)."""
+    together = max(1, min(TOGETHER, buckets // RANGES))
 
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
             for kind in (1, 2):
-                yield pa.RecordBatch.from_pylist(_blocks(kind, np.concatenate([h[kind - 1] for h in held]), buckets), schema=_BLOCK)
+                yield pa.RecordBatch.from_pylist(_blocks(kind, np.concatenate([h[kind - 1] for h in held]), buckets // together), schema=_BLOCK)
             held.clear()
 
         for batch in batches:
@@ -187,24 +212,25 @@ def count_grams(train: DataFrame, buckets: int, least_pair: int) -> DataFrame:
 
     def merge(batches):
         def done(rows):
-            grams, counts = _summed(rows)
-            if rows[0]["kind"] == 2:
-                grams, counts = grams[counts >= least_pair], counts[counts >= least_pair]
-            levels = np.bincount(level_of(counts), minlength=64)
-            held = level_of(counts).astype(np.uint8) if rows[0]["kind"] == 2 else counts
-            return pa.RecordBatch.from_pylist([{"bucket": rows[0]["bucket"], "kind": rows[0]["kind"], "n": len(grams), "total": int(counts.sum()), "most": int(counts.max(initial=0)), "grams": grams.tobytes(), "counts": held.tobytes(), "levels": levels.tolist()}], schema=out)
+            kind = rows[0]["kind"]
+            for bucket, grams, counts in _summed(rows, rows[0]["part"] * together, together, buckets):
+                if kind == 2:
+                    grams, counts = grams[counts >= least_pair], counts[counts >= least_pair]
+                levels = np.bincount(level_of(counts), minlength=64)
+                held = level_of(counts).astype(np.uint8) if kind == 2 else counts
+                yield pa.RecordBatch.from_pylist([{"bucket": bucket, "kind": kind, "n": len(grams), "total": int(counts.sum()), "most": int(counts.max(initial=0)), "grams": grams.tobytes(), "counts": held.tobytes(), "levels": levels.tolist()}], schema=out)
 
         held = []
         for batch in batches:
             for row in batch.to_pylist():
-                if held and (row["bucket"], row["kind"]) != (held[0]["bucket"], held[0]["kind"]):
-                    yield done(held)
+                if held and (row["part"], row["kind"]) != (held[0]["part"], held[0]["kind"]):
+                    yield from done(held)
                     held = []
                 held.append(row)
         if held:
-            yield done(held)
+            yield from done(held)
 
-    dealt = train.mapInArrow(releasing(count), _BLOCK_DDL).repartition("bucket", "kind").sortWithinPartitions("bucket", "kind")
+    dealt = train.mapInArrow(releasing(count), _BLOCK_DDL).repartition("part", "kind").sortWithinPartitions("part", "kind")
     return dealt.mapInArrow(releasing(merge), "bucket int, kind int, n long, total long, most long, grams binary, counts binary, levels array<long>")
 
 
@@ -253,7 +279,7 @@ def build_stretches(counted: DataFrame, bits: int) -> DataFrame:
 def build_filter(counted: DataFrame, buckets: int, bits: int) -> Filter:
     """The whole filter over counted grams."""
     stretches = np.zeros((buckets, bits // 8), dtype=np.uint8)
-    for r in build_stretches(counted, bits).toLocalIterator():
+    for r in cut(build_stretches(counted, bits)).toLocalIterator():  # built at once, and only read one after the other
         stretches[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
     return Filter(stretches, 65 - buckets.bit_length())
 
@@ -270,11 +296,13 @@ def train_model(train: DataFrame, least_pair: int = LEAST_PAIR, max_bits: int =
     if n <= dictionary:
         most = words.agg(F.max("most")).first()[0] or 0
         known, counts = np.zeros(n, np.uint64), np.zeros(n, np.uint32 if most < 1 << 32 else np.uint64)
-        at = 0
-        for r in words.select("bucket", "grams", "counts").orderBy("bucket").toLocalIterator():  # buckets ascend, so hashes do
-            block = np.frombuffer(r["grams"], np.uint64)
-            known[at : at + len(block)], counts[at : at + len(block)] = block, np.frombuffer(r["counts"], np.int64)
-            at += len(block)
+        sizes = np.zeros(buckets + 1, np.int64)
+        for r in words.select("bucket", "n").collect():
+            sizes[r["bucket"] + 1] = r["n"]
+        begin = np.cumsum(sizes)
+        for r in words.select("bucket", "grams", "counts").toLocalIterator():
+            own = slice(begin[r["bucket"]], begin[r["bucket"] + 1])
+            known[own], counts[own] = np.frombuffer(r["grams"], np.uint64), np.frombuffer(r["counts"], np.int64)
     bits = 8 * max(128, math.ceil(held_levels(counted) * BITS_EACH / 8 / buckets))
     joined = bits * buckets > max_bits
     kept = Filter(np.zeros((buckets, 0), np.uint8), 65 - buckets.bit_length()) if joined else build_filter(counted, buckets, bits)
@@ -293,27 +321,39 @@ def _lookup(model: Model, grams: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Answers:
-    """Levels that were looked up elsewhere, for sorted grams."""
+    """Levels and exact counts that were looked up elsewhere, for sorted grams and words; None: they stand in the model."""
 
+    model: Model
     grams: np.ndarray
-    found: np.ndarray
+    found: np.ndarray | None
+    words: np.ndarray
+    times: np.ndarray | None
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
-        return self.found[np.searchsorted(self.grams, grams)]
+        return self.model.filter.levels(grams) if self.found is None else self.found[np.searchsorted(self.grams, grams)]
 
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        return _lookup(self.model, words) if self.times is None else self.times[np.searchsorted(self.words, words)]
 
-def asked(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The distinct grams, sorted, whose levels the texts' scores need."""
-    token, bounds = tokens(raw, offsets)
-    return np.unique(np.concatenate([token, pairs(token, bounds)]))
 
+def asked(texts: list[tuple[np.ndarray, np.ndarray]], grams: bool, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams whose levels, and words whose counts, the texts' scores need; sorted, none of what is not asked."""
+    token, pair = [], []
+    for raw, offsets in texts:
+        t, bounds = tokens(raw, offsets)
+        token.append(np.unique(t))
+        if grams:
+            pair.append(np.unique(pairs(t, bounds)))
+    own = np.unique(np.concatenate(token)) if token else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate([own, *pair])) if grams else own[:0], own if words else own[:0]
 
-def scores(model: Model, raw: np.ndarray, offsets: np.ndarray, filter: Filter | Answers | None = None) -> np.ndarray:
-    """Rows of n_tokens, n_known, base score and model score; the base is right only with a dictionary."""
-    filter = filter or model.filter
+
+def scores(model: Model, raw: np.ndarray, offsets: np.ndarray, filter: Answers | None = None) -> np.ndarray:
+    """Rows of n_tokens, n_known, base score and model score."""
     token, bounds = tokens(raw, offsets)
     value, back = np.unique(token, return_inverse=True)
-    exact = _lookup(model, value)
+    exact = _lookup(model, value) if filter is None else filter.counts(value)
+    filter = filter or model.filter
     room = model.total + model.distinct + 1
     word = count_of(filter.levels(value))
     own = (word + 1) / (model.total + model.distinct + 1)
@@ -341,136 +381,139 @@ def score_texts(docs: DataFrame, model: Model, counted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     lean = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"], 7, 2).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    by_join = model.words is None
 
-    def run(batches, filter=None):
+    def run(batches, answers=None):
         model = shared.value
         for batch in batches:
             raw, offsets = text_bytes(batch.column(2))
             for i, j in groups_of(np.diff(offsets), PIECE):
                 a, b = int(offsets[i]), int(offsets[j])
-                x = scores(model, raw[a:b], offsets[i : j + 1] - a, filter)
+                x = scores(model, raw[a:b], offsets[i : j + 1] - a, answers and Answers(model, *answers))
                 new = [pa.array(x[:, 0].astype(np.int64)), pa.array(x[:, 1].astype(np.int64)), pa.array(np.full(j - i, model.total)), pa.array(x[:, 2]), pa.array(x[:, 3])]
-                cols = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *new]
-                extra = [batch.column(3).slice(i, j - i), batch.column(4).slice(i, j - i)] if by_join else []
-                yield pa.RecordBatch.from_arrays(cols + extra, names=[f.name for f in schema] + ["id", "th"][: len(extra)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *new], schema=schema)
+
+    if model.joined or model.words is None:
+        return _scored_by_hash(lean, run, counted, model)
+    return lean.mapInArrow(releasing(run), SCORED)
 
-    def scored(rows: DataFrame, ddl: str) -> DataFrame:
-        return _scored_by_hash(rows, run, build_stretches(counted, model.bits), model.filter.shift, ddl) if model.joined else rows.mapInArrow(releasing(run), ddl)
 
-    if not by_join:
-        return scored(lean, SCORED)
-    keys = keyed(docs)
-    lean = lean.withColumn("id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("th", F.xxhash64("text"))
-    base = _joined_base(keys, counted, model)
-    wide = scored(lean, SCORED + ", id long, th long").drop("n_known", "base_score")
-    return wide.join(base, ["id", "th"], "left").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+def together_in(model: Model) -> int:
+    """How many neighbouring buckets answer in one range: about ANSWERING bytes, in 64 ranges at least."""
+    buckets = len(model.filter.stretches)
+    each = (model.bits // 8 if model.joined else 0) + (16 * model.distinct // buckets if model.words is None else 0)
+    return 1 << min((buckets // 64).bit_length() - 1, max(0, (ANSWERING // max(1, each)).bit_length() - 1))
 
 
-def _scored_by_hash(rows: DataFrame, run, stretches: DataFrame, shift: int, ddl: str) -> DataFrame:
-    """What run makes of rows with the levels that the stretches hold, each asked where it was built.
+_ASK_DDL = "part int, piece long, kind int, bucket int, grams binary, words binary"
+_ASK = pa.schema([("part", pa.int32()), ("piece", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("grams", pa.binary()), ("words", pa.binary())])
 
-    A piece is some neighbouring rows of a partition, named by the partition and its place there.
+
+def _scored_by_hash(rows: DataFrame, run, counted: DataFrame, model: Model) -> DataFrame:
+    """What run makes of rows with the levels and word counts that were asked for where they were built.
+
+    A piece is some neighbouring rows of a partition, named by the partition and its place there. Its grams and words
+    go to the ranges of buckets that hold them, a row for each range; its rows meet the answers, in the ranges' order.
     """
-    buckets = 1 << 64 - shift
-
-    def laid_out(ask: bool):
-        def lay(batches):
-            from pyspark import TaskContext
-
-            name = TaskContext.get().partitionId() << 32
-            for batch in batches:
-                raw, offsets = text_bytes(batch.column(2))
-                for i, j in groups_of(np.diff(offsets), PIECE):
-                    if ask:
-                        a, b = int(offsets[i]), int(offsets[j])
-                        grams = asked(raw[a:b], offsets[i : j + 1] - a)
-                        edge = np.searchsorted(grams, np.arange(1, buckets, dtype=np.uint64) << np.uint64(shift))
-                        split = [(k, x.tobytes()) for k, x in enumerate(np.split(grams, edge)) if len(x)]
-                    else:
-                        part = pa.Table.from_batches([batch.slice(i, j - i)]).combine_chunks()
-                        sink = pa.BufferOutputStream()
-                        with pa.ipc.new_stream(sink, part.schema) as to:
-                            to.write_table(part)
-                        split = [(-1, sink.getvalue().to_pybytes())]
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in split], pa.int32()), pa.array([name] * len(split), pa.int64()), pa.array([x for _, x in split], pa.binary())], names=["bucket", "piece", "data"])
-                    name += 1
-
-        return rows.mapInArrow(releasing(lay), "bucket int, piece long, data binary")
+    buckets, together = len(model.filter.stretches), together_in(model)
+    parts, shift, grams, words = buckets // together, model.filter.shift, model.joined, model.words is None
+
+    def pieces(batches):
+        held, total = [], 0
+        for batch in batches:
+            _, offsets = text_bytes(batch.column(2))
+            for i, j in groups_of(np.diff(offsets), PIECE):
+                n = int(offsets[j] - offsets[i])
+                if held and total + n > ASKING:
+                    yield held
+                    held, total = [], 0
+                held.append(batch.slice(i, j - i))
+                total += n
+        if held:
+            yield held
+
+    def texts(held):
+        for batch in held:
+            raw, offsets = text_bytes(batch.column(2))
+            for i, j in groups_of(np.diff(offsets), PIECE):
+                a, b = int(offsets[i]), int(offsets[j])
+                yield raw[a:b], offsets[i : j + 1] - a
+
+    def named(batches):
+        from pyspark import TaskContext
+
+        return enumerate(pieces(batches), TaskContext.get().partitionId() << 32)
+
+    def ask(batches):
+        for name, held in named(batches):
+            split = [[x.tobytes() for x in np.split(v, np.searchsorted(v, _edges(parts)))] for v in asked(texts(held), grams, words)]
+            own = [k for k in range(parts) if split[0][k] or split[1][k]]
+            constant = lambda v, kind, n=len(own): pa.array(np.full(n, v), kind)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), constant(name, pa.int64()), constant(2, pa.int32()), constant(0, pa.int32()), *[pa.array([x[k] for k in own], pa.binary()) for x in split]], schema=_ASK)
+
+    def lay(batches):
+        for name, held in named(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as to:
+                for batch in held:
+                    to.write_batch(batch)
+            yield pa.RecordBatch.from_pylist([{"part": -1, "piece": name, "kind": 3, "bucket": 0, "grams": sink.getvalue().to_pybytes(), "words": b""}], schema=_ASK)
 
     def answer(batches):
-        now, here = None, None
+        now, stretches, known, counts, table = None, None, [], [], None
         for batch in batches:
             out = []
-            for bucket, piece, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if piece < 0:
-                    now, here = bucket, Filter(np.frombuffer(data, np.uint8)[None, :], 64)
-                    continue
-                grams = np.frombuffer(data, np.uint64)
-                found = here.levels(grams) if now == bucket else np.zeros(len(grams))  # a bucket without a stretch holds nothing
-                out.append((bucket, piece, found.astype(np.uint8).tobytes()))
+            for part, piece, kind, bucket, g, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:  # of a range the stretches come first, then its words, both by bucket, and then the asking pieces
+                    now, known, counts, table = part, [], [], None
+                    stretches = np.zeros((together, model_bits // 8), np.uint8)
+                if kind == 0:
+                    stretches[bucket - part * together] = np.frombuffer(g, np.uint8)
+                elif kind == 1:
+                    known.append(np.frombuffer(g, np.uint64))
+                    counts.append(np.frombuffer(w, np.int64))
+                else:
+                    if table is None:
+                        none = np.zeros(0, np.uint64)
+                        table = Model(Filter(stretches, shift, part * together), 0, 0, np.concatenate([none, *known]), np.concatenate([none.view(np.int64), *counts]), 0, False)
+                    levels = table.filter.levels(np.frombuffer(g, np.uint64)) if grams else np.zeros(0)
+                    out.append({"part": part, "piece": piece, "kind": 2, "bucket": 0, "grams": levels.astype(np.uint8).tobytes(), "words": _lookup(table, np.frombuffer(w, np.uint64)).tobytes()})
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "piece", "data"])
+                yield pa.RecordBatch.from_pylist(out, schema=_ASK)
 
     def meet(batches):
-        def done(data, found):
-            with pa.ipc.open_stream(data) as part:
-                for batch in part:
-                    raw, offsets = text_bytes(batch.column(2))
-                    a, b = int(offsets[0]), int(offsets[-1])
-                    grams, levels = asked(raw[a:b], offsets - a), np.concatenate(found).astype(np.int64)
-                    if len(grams) != len(levels):
-                        raise ValueError("the rows came in another order when they were read again")
-                    yield from run([batch], Answers(grams, levels))
-
-        now, data, found = None, None, []
+        def done(data, levels, times):
+            with pa.ipc.open_stream(data) as stream:
+                held = list(stream)
+            wanted = asked(texts(held), grams, words)
+            found = [np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in xs]]) for kind, xs in ((np.uint8, levels), (np.int64, times))]
+            if [len(x) for x in found] != [len(x) for x in wanted]:
+                raise ValueError("the rows came in another order when they were read again")
+            yield from run(held, (wanted[0], found[0].astype(np.int64) if grams else None, wanted[1], found[1] if words else None))
+
+        now, data, levels, times = None, None, [], []
         for batch in batches:
-            for bucket, piece, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, piece, _, _, g, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if piece != now:
                     if now is not None:
-                        yield from done(data, found)
-                    now, found = piece, []
-                if bucket < 0:
-                    data = x
+                        yield from done(data, levels, times)
+                    now, levels, times = piece, [], []
+                if part < 0:
+                    data = g
                 else:
-                    found.append(np.frombuffer(x, np.uint8))
+                    levels.append(g)
+                    times.append(w)
         if now is not None:
-            yield from done(data, found)
-
-    held = stretches.select("bucket", F.lit(-1).cast("long").alias("piece"), F.col("bits").alias("data"))
-    answers = laid_out(True).unionByName(held).repartition("bucket").sortWithinPartitions("bucket", "piece").mapInArrow(releasing(answer), "bucket int, piece long, data binary")
-    return laid_out(False).unionByName(answers).repartition("piece").sortWithinPartitions("piece", "bucket").mapInArrow(releasing(meet), ddl)
-
-
-def _joined_base(keys: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
-    """id, th, n_known and base_score by a join of each text's distinct tokens with the counts."""
-
-    def lay_out(batches):
-        for batch in batches:
-            ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            raw, offsets = text_bytes(batch.column(2))
-            for i, j in groups_of(np.diff(offsets), PIECE):
-                a, b = int(offsets[i]), int(offsets[j])
-                token, bounds = tokens(raw[a:b], offsets[i : j + 1] - a)
-                row = np.repeat(np.arange(j - i), np.diff(bounds))
-                order = np.lexsort((token, row))
-                token, row = token[order], row[order]
-                head = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (row[1:] != row[:-1])]))
-                times = np.diff(np.append(head, len(token)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + row[head]]), pa.array(ths[i + row[head]]), pa.array(token[head].view(np.int64)), pa.array(times)], names=["id", "th", "gram", "times"])
-
-    def unpack(batches):
-        for batch in batches:
-            for g, c in zip(batch.column(0), batch.column(1), strict=True):
-                grams, counts = np.frombuffer(g.as_py(), np.int64), np.frombuffer(c.as_py(), np.int64)
-                for at in range(0, len(grams), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(grams[at : at + (1 << 16)]), pa.array(counts[at : at + (1 << 16)])], names=["gram", "c"])
-
-    asked = keys.mapInArrow(releasing(lay_out), "id long, th long, gram long, times long").groupBy("id", "th", "gram").agg(F.max("times").alias("times"))
-    known = counted.filter("kind = 1").select("grams", "counts").mapInArrow(releasing(unpack), "gram long, c long")
-    one = asked.join(known, "gram", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    room = float(model.total + model.distinct + 1)
-    return one.groupBy("id", "th").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(room))).alias("base_score"))
+            yield from done(data, levels, times)
+
+    model_bits = model.bits if grams else 0
+    asks = rows.mapInArrow(releasing(ask), _ASK_DDL)
+    part = F.floor(F.col("bucket") / together).cast("int").alias("part")
+    if grams:
+        asks = asks.unionByName(build_stretches(counted, model.bits).select(part, F.lit(-1).cast("long").alias("piece"), F.lit(0).alias("kind"), "bucket", F.col("bits").alias("grams"), F.lit(b"").alias("words")))
+    if words:
+        asks = asks.unionByName(counted.filter("kind = 1").select(part, F.lit(-1).cast("long").alias("piece"), "kind", "bucket", "grams", F.col("counts").alias("words")))
+    answers = asks.repartition("part").sortWithinPartitions("part", "kind", "bucket", "piece").mapInArrow(releasing(answer), _ASK_DDL)
+    return rows.mapInArrow(releasing(lay), _ASK_DDL).unionByName(answers).repartition("piece").sortWithinPartitions("piece", "part").mapInArrow(releasing(meet), SCORED)
 
 
 def score_documents(docs: DataFrame, **options) -> DataFrame:

@@ -127,6 +127,20 @@ def test_pairs_seen_once_are_kept(spark):
     assert (model.filter.levels(lm.pairs(token, bounds)) >= 1).all()
 
 
+def test_rows_sent_do_not_grow_with_the_buckets(spark, prose, monkeypatch):
+    docs = table(spark, prose).repartition(4)
+    plain = lambda rows: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows.collect()), key=repr)
+    want = plain(lm.score_documents(docs))
+    size = sum(len(r[1].encode()) for r in prose)
+    monkeypatch.setattr(lm, "BUCKET", size // 3000)
+    monkeypatch.setattr(lm, "BITS_EACH", 64)
+    kind, sent = type(docs), {}
+    monkeypatch.setattr(kind, "repartition", lambda self, *by, f=kind.repartition: sent.update({by: self.count()}) or f(self, *by))
+    got = plain(lm.score_documents(docs, dictionary=0, max_bits=1 << 10))
+    assert [r[:6] for r in got] == [r[:6] for r in want]
+    assert len(sent) >= 3 and max(sent.values()) <= 4 * 64 + 2 * 4096  # asking pieces, and two rows of each bucket
+
+
 # ---------------------------------------------------------------- leaks
 
 
