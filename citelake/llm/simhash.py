@@ -419,10 +419,28 @@ def _marked(column: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(column.tolist()), np.uint64).reshape(-1, MARKS)
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def print_links(lean: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
+    """a and b: links (th, a < b) between keyed texts whose fingerprints of that many words differ in at most `budget` bits.
+
+    Distinct fingerprints are linked by the trie self-join; a fingerprint stands for its text of least th, which the
+    others of the same fingerprint are linked to.
+    """
+    prints = cut(fingerprints(lean.select(F.col("th").alias("doc_id"), "text"), words).distinct())
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("head")))
+    ends = [classes.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}")) for x in "ab"]
+    links = similar_links(classes, budget, classes.count()).join(ends[0], "a").join(ends[1], "b").select("ha", "hb")
+    links = links.union(prints.join(classes, "fp").filter("doc_id <> head").select("head", "doc_id"))
+    return links.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct()
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, words: int = 3, budget: int = 3) -> DataFrame:
     """docs without near copies: of each group of similar texts the document of smallest doc_id stays.
 
     Two texts are similar if their sets of shingles have at least that Jaccard similarity; similar texts form groups.
+    SimHash comes first: texts are linked by the trie self-join of their fingerprints (of `words` words, at `budget` bits),
+    and links that hold on the whole sets make the first groups. The exact search for the rest follows, for similar
+    texts often differ in more bits, and a link that does not hold may stand for one that does.
+
     Every similar pair shares one of the first n - ceil(least n) + 1 shingles of either text's n in any order common to
     all; rare ones come first here. All pairs under such a shingle whose sizes, places and marks allow the similarity are
     compared on their whole sets, but for pairs that compared ones have already joined: a first round takes
@@ -452,7 +470,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
             _, back, times = np.unique(columns[0], return_inverse=True, return_counts=True)
             m = np.flatnonzero(times[back] > 1)
             for x in range(0, len(m), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[m[x : x + (1 << 16)]]) for c in columns], names=["token", "th", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[m[x : x + (1 << 16)]]) for c in columns], names=["token", "root", "th", "n", "at"])
 
     def paired(width):
         def run(batches):
@@ -469,9 +487,13 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
         for batch, i, j, (h, _, n) in _pieces(batches, 2, shingle):
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), _lists(h, n)], names=["th", "held"])
 
-    def similar(rows: DataFrame, width: int | None) -> DataFrame:
-        """The pairs of one round that are similar on their whole sets."""
-        pairs = cut(rows.repartition("token").mapInArrow(releasing(paired(width)), "a long, b long").distinct())
+    def searched(rows: DataFrame, width: int | None) -> DataFrame:
+        """The similar pairs of one round of the search."""
+        return similar(rows.repartition("token").mapInArrow(releasing(paired(width)), "a long, b long").distinct())
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar on their whole sets."""
+        pairs = cut(pairs)
         ends = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
         wanted = cut(ends.join(first.select("th", "id"), "th"))
         if wanted.count() <= FEW:
@@ -482,12 +504,14 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
         return cut(sides.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum")).filter(F.col("both") / (F.col("sum") - F.col("both")) >= least).select("a", "b"))
 
     first = cut(lean.groupBy("th").agg(F.min("id").alias("id")))
-    texts = cut(lean.mapInArrow(releasing(prefixes), "id long, th long, n int, marks binary, prefix array<long>").join(first, ["th", "id"]).dropDuplicates(["th", "id"]))
-    spread = texts.select("th", "n", F.posexplode("prefix").alias("at", "token")).select("token", "th", "n", "at")
-    shared = cut(spread.repartition("token").mapInArrow(releasing(repeated), "token long, th long, n int, at int"))
-    near = similar(shared.select("token", F.col("th").alias("root"), "th", "n", "at"), NEIGHBOURS)
+    printed = similar(print_links(lean, words, budget))
+    begun = cut(first.join(components(printed).withColumnRenamed("node", "th"), "th", "left").select("th", "id", F.coalesce("root", "th").alias("root")))
+    texts = cut(lean.mapInArrow(releasing(prefixes), "id long, th long, n int, marks binary, prefix array<long>").join(begun, ["th", "id"]).dropDuplicates(["th", "id"]))
+    spread = texts.select("root", "th", "n", F.posexplode("prefix").alias("at", "token")).select("token", "root", "th", "n", "at")
+    shared = cut(spread.repartition("token").mapInArrow(releasing(repeated), "token long, root long, th long, n int, at int"))
+    near = printed.unionByName(searched(shared, NEIGHBOURS))
     named = texts.select("th", "marks").join(components(near).withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
-    roots = components(near.unionByName(similar(shared.join(named, "th").select("token", "root", "th", "n", "at", "marks"), None)))
+    roots = components(near.unionByName(searched(shared.drop("root").join(named, "th").select("token", "root", "th", "n", "at", "marks"), None)))
     rooted = first.join(roots, F.col("th") == F.col("node"), "left").select("th", "id", F.coalesce("root", "th").alias("root"))
     stays = rooted.groupBy("root").agg(F.min(F.struct("id", "th")).alias("s")).select(F.col("s.id").alias("__near_id"), F.col("s.th").alias("__near_th"))
     id_, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))

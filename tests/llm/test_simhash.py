@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from citelake.llm import graph, simhash
+from citelake.llm.runs import keyed
 from tests.llm.conftest import table
 
 
@@ -199,3 +200,28 @@ def test_near_copies_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     rows = [(d.doc_id, d.text) for d in docs]
     assert survivors(spark, rows) == slow_survivors(rows)
+
+
+def test_near_copies_are_linked_by_fingerprints_first(spark, monkeypatch):
+    """The trie's links make the first groups, and one that does not hold on the whole sets joins nothing."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(900)]
+    rows, texts = [], []
+    for i in range(6):
+        texts.append(r.sample(words, 400))
+        edited = list(texts[-1])
+        edited[r.randrange(400)] = "edited"
+        texts.append(edited)
+    passage = r.sample(words, 60)
+    texts += [passage * 40 + r.sample(words, 30) for _ in range(2)]  # the repeats decide the fingerprint, not the set
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    fps = {i: slow_fingerprint(t) for i, t in rows}
+    close = {(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3}
+    assert (12, 13) in close and len(close) > 3
+    of = {x.th: x.id for x in keyed(table(spark, rows)).collect()}
+    asked = []
+    monkeypatch.setattr(simhash, "print_links", lambda *a, f=simhash.print_links: asked.append(f(*a)) or asked[-1])
+    kept = survivors(spark, rows)
+    links = {tuple(sorted((of[x.a], of[x.b]))) for x in asked[0].collect()}
+    assert links <= close and closure(range(len(rows)), links) == closure(range(len(rows)), close)
+    assert kept == slow_survivors(rows) and {12, 13} <= kept
