@@ -88,6 +88,18 @@ def test_odd_rows(spark, odd_rows):
         assert words_result(docs, 50) == without_repeated_words(rows, 50)
 
 
+@pytest.mark.parametrize("size", [399, 400])
+def test_passages_of_over_50_words_repeat_in_bytes_from_400_on(spark, size):
+    shared = " " + "".join(f"w{j:05d} " for j in range(57))[400 - size :]
+    assert len(shared) == size
+    rows = [(i, chr(97 + i) * 9 + shared + chr(110 + i) * 9, "s0") for i in range(3)]
+    docs = table(spark, rows)
+    assert [r[2] for r in words_result(docs, 50)] == [0, 57, 57]
+    got = bytes_result(docs, 400)
+    assert [r[2] for r in got] == [400 * (size == 400)] * 3
+    assert got == without_repeated_bytes(rows, 400)
+
+
 def test_large_lots_are_divided(monkeypatch):
     r = random.Random(8)
     word = lambda n: bytes(r.choices(b"abcdefgh ", k=n))
